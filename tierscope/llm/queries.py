@@ -23,6 +23,7 @@ def _op(module: str, function: str, *tables: str) -> Callable[[SparkSession, str
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash_neardup": _op("simhash", "simhash_classes", "documents"),
+        "op5_suffix_dedup": _op("suffix_dedup", "remove_repeats", "documents"),
     }
 
 
