@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     common.tune(spark)
 
     def encode(batches):
-        enc = tokens.Encoder(tokenizer, spaced)
+        enc = tokens.encoder(tokenizer, spaced)
         end, size = np.array([end_id], enc.dtype).tobytes(), np.dtype(enc.dtype).itemsize
         full_before, seen = 0, np.zeros(window, np.int64)
         for b in batches:

@@ -147,7 +147,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool) -> D
     src = src.repartitionByRange(common.salts(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "t1", "t2").select("doc_id", "text")
 
     def run(batches):
-        enc = tokens.Encoder(tokenizer, spaced)
+        enc = tokens.encoder(tokenizer, spaced)
         uri, out = f"{folder}/{uuid.uuid4().hex}.pfor", None
         end = np.array([end_id], enc.dtype)
         for b in batches:

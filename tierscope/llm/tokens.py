@@ -1,8 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded word cache.
+"""Token ids of whole texts by the tokenizers library, with a bounded piece cache.
 
-A byte-pair tokenizer first cuts a text into pieces that it encodes each alone.
-Where a cut is certain (at ASCII white space), the parts between cuts are encoded
-once and remembered; everything else goes to the tokenizer as it is.
+A byte-pair tokenizer first cuts a text into pieces and encodes each piece alone,
+so equal pieces have equal ids. Texts of characters below U+0180 are cut here by
+the vocabulary's own rule; unseen pieces of a batch go to the library end to end
+in one call, are told apart by their lengths in bytes, and are remembered. Texts
+with other characters go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,11 +14,16 @@ import re
 
 import numpy as np
 
-#: Remembered parts in a worker; the cache starts anew beyond that.
-CACHED = 200_000
-#: White space that isn't one space or line feed between other characters.
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
-_SPACES = re.compile(r"[ \t\n\r]+")
+#: Remembered pieces in a worker; the cache starts anew beyond that.
+CACHED = 400_000
+# Letters, numbers and white space below U+0180, and the two rules
+# by which the vocabularies cut.
+LETTER, NUMBER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", " \\t-\\r\\x85\\xa0"
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+WORDS = re.compile(f"{SHORT}|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+SPACED = re.compile(f"{SHORT}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+_OTHER = re.compile("[^\x00-ſ]")
+_MADE: dict[tuple[str, bool], Encoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,8 +33,8 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Encodes texts to little-endian ids. ``spaced``: the vocabulary has spaces
-    in front of words (byte level); otherwise white space is dropped."""
+    """Encodes texts to little-endian ids. ``spaced``: byte level, pieces take a
+    space in front; otherwise white space is dropped and texts are lower-cased."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,37 +42,59 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced = spaced
-        self.dtype = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.spaced, self.cut = spaced, (SPACED if spaced else WORDS).findall
+        vocab = self.tok.get_vocab()
+        self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token.removesuffix("</w>"))  # a character for each byte
+        self.cache: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, self.dtype) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, cache: dict[str, bytes], parts: set[str], before: str) -> None:
-        new = [p for p in parts if p not in cache]
-        if new:
-            cache.update(zip(new, self._ids([before + p for p in new]), strict=True))
+    def _learn(self, pieces: list[str]) -> None:
+        plain = [p for p in pieces if p.strip(" ").isalpha()]
+        rest = [p for p in pieces if not p.strip(" ").isalpha()]
+        if plain:
+            # spaced pieces without their space would run together: one call each
+            joined = [p for p in plain if not self.spaced or p[0] == " "]
+            rest += [p for p in plain if self.spaced and p[0] != " "]
+            if joined:
+                (ids,) = self._ids([("" if self.spaced else " ").join(joined)])
+                ends = np.cumsum([len(p.encode()) for p in joined])
+                at = np.cumsum(self.bytes_of[ids])
+                cut = np.searchsorted(at, ends) + 1
+                if len(at) and at[-1] == ends[-1] and (at[cut - 1] == ends).all():
+                    raw, size, lo = ids.tobytes(), ids.itemsize, 0
+                    for p, hi in zip(joined, (cut * size).tolist(), strict=True):
+                        self.cache[p] = raw[lo:hi]
+                        lo = hi
+                else:
+                    rest += joined
+        self.cache.update((p, i.tobytes()) for p, i in zip(rest, self._ids(rest), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as bytes of ``dtype``."""
-        if len(self.first) + len(self.rest) > CACHED:
-            self.first, self.rest = {}, {}
-        out: list[bytes | None] = [None] * len(texts)
-        if not self.spaced:
-            cut = [_SPACES.split(t or "") for t in texts]
-            self._learn(self.first, {p for x in cut for p in x}, "")
-            get = self.first.__getitem__
-            return [b"".join(map(get, x)) for x in cut]
-        odd = [i for i, t in enumerate(texts) if t and _ODD.search(t)]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        plain = [(i, [line.split(" ") for line in t.split("\n")] if t else []) for i, t in enumerate(texts) if out[i] is None]
-        self._learn(self.first, {line[0] for _, x in plain for line in x} | {"\n"}, "")
-        self._learn(self.rest, {p for _, x in plain for line in x for p in line[1:]}, " ")
-        first, get, feed = self.first, self.rest.__getitem__, self.first["\n"]
-        for i, lines in plain:
-            out[i] = feed.join(first[line[0]] + b"".join(map(get, line[1:])) for line in lines)
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and _OTHER.search(t)]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
+        other = set(whole)
+        cut = [(i, self.cut(t if self.spaced else t.lower())) for i, t in enumerate(texts) if t and i not in other]
+        if len(self.cache) > CACHED:
+            self.cache = {}
+        new = set().union(*(p for _, p in cut)) - self.cache.keys()
+        if new:
+            self._learn(sorted(new))
+        get = self.cache.__getitem__
+        for i, pieces in cut:
+            out[i] = b"".join(map(get, pieces))
         return out
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    if (path, spaced) not in _MADE:
+        _MADE[path, spaced] = Encoder(path, spaced)
+    return _MADE[path, spaced]
