@@ -53,8 +53,12 @@ def _valid(kind: str, x: Column) -> Column:
     digits = F.regexp_replace(x["token"], "[^0-9]", "")
     n = F.length(digits)
     if kind == "ip":
-        part = lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.expr("1").cast("int") * F.when(F.length(F.ltrim(p, F.lit("0"))) <= 3, F.concat(F.lit("0"), F.ltrim(p, F.lit("0")))).cast("int"), F.lit(999)) <= 255)
-        return F.forall(F.split(x["token"], r"\."), part)
+
+        def small(p: Column) -> Column:
+            p = F.ltrim(p, F.lit("0"))
+            return F.when(F.length(p) <= 3, F.concat(F.lit("0"), p).cast("int") <= 255).otherwise(F.lit(False))
+
+        return F.forall(F.split(x["token"], r"\."), small)
     if kind == "card":
 
         def add(acc: Column, i: Column) -> Column:
@@ -74,9 +78,13 @@ def _base(text: Column) -> Column:
     quick = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     kind = "array<struct<start:int,k:int,end:int>>"
     parts = []
+
+    def spans_of(k: int, name: str) -> Column:
+        found = F.filter(_located(text, PATTERNS[name]), lambda x: _valid(name, x))
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"))).cast(kind)
+
     for k, name in enumerate(KINDS):
-        found = F.filter(_located(text, PATTERNS[name]), lambda x, name=name: _valid(name, x))
-        spans = F.transform(found, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"))).cast(kind)
+        spans = spans_of(k, name)
         parts.append(F.when(quick[name], spans).otherwise(F.array().cast(kind)) if name in quick else spans)
     return F.array_sort(F.concat(*parts))
 
@@ -99,12 +107,13 @@ def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CON
     seen = one.select(
         "t1", "t2", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
         F.lower("t.token").alias("instance"),
-        F.concat_ws(" ", F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), F.left(shape, F.lit(64))).alias("pattern"),
+        F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)).alias("context"), F.left(shape, F.lit(64)).alias("shape"),
         F.exists("base", hit).alias("covered"),
-        F.element_at(F.transform(F.filter("base", starts), lambda s: s["k"]), 1).alias("k") if False else F.try_element_at(F.transform(F.filter("base", starts), lambda s: s["k"]), F.lit(1)).alias("k"),
+        F.try_element_at(F.transform(F.filter("base", starts), lambda s: s["k"]), F.lit(1)).alias("k"),
     )
     # a token inside a base span that starts in an earlier token is no occurrence
-    seen = common.written(seen.where("k IS NOT NULL OR NOT covered"), "pii-seen")
+    seen = seen.where("(k IS NOT NULL OR NOT covered) AND array_join(context, '') <> ''")
+    seen = common.written(seen.withColumn("pattern", F.concat_ws(" ", "context", "shape")).drop("context", "shape"), "pii-seen")
     edges = common.written(seen.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "pii-edges")
     known = edges.where("k IS NOT NULL").groupBy("instance").agg(F.min("k").alias("kind"))
     accepted = None
@@ -140,7 +149,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     texts get equal spans. Offsets are code points, ends exclusive.
     """
     out = _with_added(scan(docs, ["doc_id"]))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(len(KINDS))]
     return out.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
 
 
