@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nnls_packing": _op("packing", "pack_documents", "documents"),
         "op3_simhash_neardup": _op("simhash", "simhash_classes", "documents"),
         "op5_suffix_dedup": _op("suffix_dedup", "remove_repeats", "documents"),
+        "op8_label_propagation": _op("sharding", "shard_documents", "documents"),
         "op7_bloom_cascade": _op("url_filter", "judge", "pages"),
         "op10_bootstrapped_pii": _op("pii", "find_pii", "documents"),
         "op6_pfor_tokens": _op("token_files", "token_documents", "documents"),
