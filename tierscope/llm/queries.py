@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_nnls_packing": _op("packing", "pack_documents", "documents"),
         "op3_simhash_neardup": _op("simhash", "simhash_classes", "documents"),
+        "op4_tar_media": _op("media", "media_columns", "documents"),
         "op5_suffix_dedup": _op("suffix_dedup", "remove_repeats", "documents"),
         "op8_label_propagation": _op("sharding", "shard_documents", "documents"),
         "op7_bloom_cascade": _op("url_filter", "judge", "pages"),
