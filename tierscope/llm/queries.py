@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": _op("suffix_dedup", "remove_repeats", "documents"),
         "op8_label_propagation": _op("sharding", "shard_documents", "documents"),
         "op7_bloom_cascade": _op("url_filter", "judge", "pages"),
+        "op9_classifier_chain": _op("toxicity", "flag_toxic", "documents", "labels"),
         "op10_bootstrapped_pii": _op("pii", "find_pii", "documents"),
         "op6_pfor_tokens": _op("token_files", "token_documents", "documents"),
     }
