@@ -22,6 +22,7 @@ def _op(module: str, function: str, *tables: str) -> Callable[[SparkSession, str
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bm25_decontamination": _op("decontam", "find_leaks", "documents", "benchmark"),
         "op2_nnls_packing": _op("packing", "pack_documents", "documents"),
         "op3_simhash_neardup": _op("simhash", "simhash_classes", "documents"),
         "op4_tar_media": _op("media", "media_columns", "documents"),
