@@ -44,8 +44,9 @@ def features(text: str | None) -> np.ndarray:
     words = set(_WORD.findall((text or "").lower()))
     if len(_known) > 300_000:
         _known.clear()
-    for w in words - _known.keys():
-        _known[w] = _of_word(w)
+    for w in words:
+        if w not in _known:
+            _known[w] = _of_word(w)
     return np.array(sorted(set().union(*map(_known.__getitem__, words))), np.int32)
 
 
