@@ -5,8 +5,10 @@ divided by the sum of the item's own, so an item that a passage covers whole
 scores 1 whatever its length. Postings are in item order, in blocks, each with
 its largest weight; blocks of all terms cover the same ranges of items.
 
-Every training text is cut into overlapping passages, and every passage is a
-query, for *all* items that reach the threshold:
+Every training text is cut into passages of two steps that overlap by one, so any
+item of up to a step's words lies whole in some passage; longer items have an index
+of their own with larger steps. Every passage is a query, for *all* items that reach
+the threshold:
   1. Pivot: by the weights alone, an item can't reach the threshold without some
      of its heaviest terms (what the others sum up to is too little). Only those
      essential postings are walked, for all passages of a batch at once, and the
@@ -33,10 +35,9 @@ from pyspark.sql import functions as F
 
 from tierscope.llm import common
 
-#: BM25 constants; words of a passage and its step; least score; least share of
+#: BM25 constants; least step of passages in words; least score; least share of
 #: the 5-grams of question and answer; items per block; bytes of items per pass.
-K1, B = 1.2, 0.75
-PASSAGE, STEP = 128, 64
+K1, B, STEP = 1.2, 0.75, 64
 SCORE, OVERLAP, GRAM, BLOCK, PART_BYTES = 0.6, 0.6, 5, 32, 16 << 20
 HIT = "item_id: bigint, passage: bigint, score: double, question_overlap: double, answer_overlap: double"
 _WORD = re.compile(r"\w+")
@@ -62,12 +63,17 @@ def grams(words: list[str], n: int = GRAM) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def step_for(n_words: int) -> int:
+    """Step of the passages for items of so many words: a power of two."""
+    return max(STEP, 1 << (n_words - 1).bit_length() if n_words else 1)
+
+
 class Index:
     """Inverted index of (item_id, text) pairs, with document frequencies ``df``
     (by word) over ``n`` items of mean length ``mean``."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, threshold: float = SCORE):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float, threshold: float = SCORE, step: int = STEP):
+        self.threshold, self.step = threshold, step
         self.items, self.parts, self.length, self.full = [], [], [], []
         weights: list[dict[str, float]] = []
         for item, text in items:
@@ -112,10 +118,10 @@ class Index:
             return found
         get = self.terms.get
         ids = [np.fromiter((get(w, -1) for w in x), np.int64, len(x)) for x in texts]
-        count = np.array([max(1, -(-len(x) // STEP)) for x in ids])
+        count = np.array([max(1, -(-len(x) // self.step)) for x in ids])
         first = np.cumsum(count) - count
         t = np.concatenate(ids)
-        where = np.concatenate([np.arange(len(x)) // STEP + f for x, f in zip(ids, first, strict=True)])
+        where = np.concatenate([np.arange(len(x)) // self.step + f for x, f in zip(ids, first, strict=True)])
         begins = np.zeros(int(count.sum()) + 1, bool)
         begins[first] = True
         known = np.flatnonzero(t >= 0)
@@ -139,9 +145,9 @@ class Index:
         seen_passage, have, block_bound = -1, set(), {}
         for pair, d in zip(pairs[bound >= self.threshold - 1e-9].tolist(), owner[bound >= self.threshold - 1e-9].tolist(), strict=True):
             p, i = divmod(pair, len(self.items))
-            lo = (p - int(first[d])) * STEP
+            lo = (p - int(first[d])) * self.step
             if p != seen_passage:
-                seen_passage, have, block_bound = p, set(ids[d][lo : lo + PASSAGE].tolist()), {}
+                seen_passage, have, block_bound = p, set(ids[d][lo : lo + 2 * self.step].tolist()), {}
             b = i // BLOCK
             if b not in block_bound:
                 top = self.block_max[b]
@@ -158,11 +164,12 @@ class Index:
         best: dict[int, tuple] = {}
         for i, lo, score in hits:
             _, _, question, answer = self.parts[i]
-            near = grams(words[max(0, lo - self.length[i]) : lo + PASSAGE + self.length[i]])
+            around = words[max(0, lo - self.length[i]) : lo + 2 * self.step + self.length[i]]
+            near = grams(around)
             share = []
             for part in (question, answer):
                 n = len(next(iter(part))) if part else GRAM
-                have = near if n == GRAM else grams(words[max(0, lo - self.length[i]) : lo + PASSAGE + self.length[i]], n)
+                have = near if n == GRAM else grams(around, n)
                 share.append(len(part & have) / len(part) if part else 1.0)
             if min(share) >= overlap and (i not in best or score > best[i][2]):
                 best[i] = (self.items[i], lo, score, *share)
@@ -212,7 +219,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCOR
         for _, text in rows:
             for w in words_of(text):
                 df.setdefault(w, 1)
-        index = spark.sparkContext.broadcast(Index(rows, df, n, mean, threshold))
+        steps: dict[int, list[tuple[int, str]]] = defaultdict(list)
+        for r in rows:
+            steps[step_for(len(words_of(r[1])))].append(r)
+        index = spark.sparkContext.broadcast([Index(x, df, n, mean, threshold, k) for k, x in sorted(steps.items())])
         src = out.select(*[F.col(f"`{c}`") for c in names], "_leaks", F.col("text").cast("string").alias("_text"))
         schema = src.select(*names, "_leaks").schema
         fields = [f.split(":")[0] for f in HIT.split(", ")]
@@ -222,7 +232,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCOR
                 k = b.num_columns
                 words = [words_of(t) for t in b.column(k - 1).to_pylist()]
                 had = b.column(k - 2).to_pylist()
-                leaks = [[*h, *(dict(zip(fields, x, strict=True)) for x in index.value.verified(w, hits, overlap))] for h, w, hits in zip(had, words, index.value.search(words), strict=True)]
+                leaks = [list(h) for h in had]
+                for one in index.value:
+                    for h, w, hits in zip(leaks, words, one.search(words), strict=True):
+                        h += [dict(zip(fields, x, strict=True)) for x in one.verified(w, hits, overlap)]
                 column = pa.array([sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"], y["passage"])) for x in leaks], b.schema.field(k - 2).type)
                 yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], column], schema=pa.schema([b.schema.field(i) for i in range(k - 1)]))
 
@@ -238,4 +251,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without a verified hit."""
-    return contamination(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return contamination(rows, benchmark).where(F.size("leaks") == 0).select("_row.*")

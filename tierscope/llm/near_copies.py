@@ -111,20 +111,19 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     similarity of 0.8 or more, directly or over others. Texts without words,
     null among them, are one class. Columns stay as they are.
     """
-    names = docs.columns
-    src = docs.select(*[F.col(f"`{c}`") for c in names], *[c.alias(f"_{c_}") for c, c_ in zip(common.text_hash(), ("t1", "t2"), strict=True)])
-    slim = src.select(F.col("doc_id"), F.col("_t1").alias("t1"), F.col("_t2").alias("t2"), F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    src = docs.select(row, F.col("doc_id"), F.col("text"), *common.text_hash())
+    slim = src.select("doc_id", "t1", "t2", "text")
     classes = near_classes(slim)
     first = F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("t1"), F.col("t2")))
     kept = classes.groupBy("root").agg(first.alias("k")).select(F.col("k.least").alias("_keep"), F.col("k.t1").alias("_k1"), F.col("k.t2").alias("_k2"))
     kept = common.written(kept, "near-kept")
-    same = (src["_t1"] == kept["_k1"]) & (src["_t2"] == kept["_k2"]) & src["doc_id"].eqNullSafe(kept["_keep"])
-    out = src.join(kept, same, "left_semi")
+    out = src.join(kept, (src["t1"] == kept["_k1"]) & (src["t2"] == kept["_k2"]) & src["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
     # rows that share the id and the text of a kept one: all but one go, too
     repeated = slim.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_d"), F.col("t1").alias("_r1"), F.col("t2").alias("_r2"))
     repeated = common.written(repeated, "near-repeated")
     if repeated.isEmpty():
-        return out.select(*names)
-    again = (out["_t1"] == repeated["_r1"]) & (out["_t2"] == repeated["_r2"]) & out["doc_id"].eqNullSafe(repeated["_d"])
-    once = out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "_t1", "_t2"])
-    return out.join(repeated, again, "left_anti").union(once).select(*names)
+        return out.select("_row.*")
+    again = (out["t1"] == repeated["_r1"]) & (out["t2"] == repeated["_r2"]) & out["doc_id"].eqNullSafe(repeated["_d"])
+    once = out.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return out.join(repeated, again, "left_anti").union(once).select("_row.*")

@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 from tierscope.llm import common
 
 #: Bound of the fitted sample, hashed dimensions, folds, passes.
-MAX_ROWS, DIMS, FOLDS, EPOCHS = 12_000, 1 << 18, 4, 8
+MAX_ROWS, DIMS, FOLDS, EPOCHS = 8_000, 1 << 18, 4, 8
 #: Predicted in this order; the last is the decision.
 CATEGORIES = ("quality", "toxic")
 PREFIXES = (4, 5, 6, 7, 8)
-#: Features a link uses, by their chi-squared statistic, and rows each is in.
-BEST, RARE = 2_000, 4
+#: Features a link uses, by their chi-squared statistic; rows each is in; least
+#: statistic (one in a million features without effect reaches it).
+BEST, RARE, LEAST_CHI = 2_000, 4, 25.0
 _WORD = re.compile(r"[^\W\d_]+")
 _known: dict[str, tuple[int, ...]] = {}
 
@@ -71,11 +72,11 @@ def chosen(xs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     chi[n < RARE] = 0
     mask = np.zeros(DIMS, bool)
     best = np.argsort(-chi, kind="stable")[:BEST]
-    mask[best[chi[best] > 0]] = True
+    mask[best[chi[best] >= LEAST_CHI]] = True
     return mask
 
 
-def fit(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.5, seed: int = 5) -> Linear:
+def fit(xs: list[np.ndarray], before: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 1.0, seed: int = 5) -> Linear:
     """Adaptive stochastic gradients over the rows in a fixed random order."""
     mask = chosen(xs, y)
     xs = [x[mask[x]] for x in xs]
@@ -194,4 +195,5 @@ def flag_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that ``flag_toxic`` doesn't flag."""
     chain = train(docs, labels)
-    return score(docs, chain, docs.columns).where(F.col("p_toxic") <= chain.threshold).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
+    return score(rows, chain, ["_row"]).where(F.col("p_toxic") <= chain.threshold).select("_row.*")
