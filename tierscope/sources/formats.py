@@ -231,8 +231,8 @@ class MatrixSource(DataSource):
 
 
 class GraphReader(DataSourceReader):
-    """Node ranges of an index file. Filters on node_id narrow the ranges (with
-    spark.sql.python.filterPushdown.enabled)."""
+    """Node ranges of an index file. Filters on node_id narrow the ranges (see
+    ``register``)."""
 
     def __init__(self, options: dict):
         self.path, self.dtype, self.rows = options["path"], options.get("dtype", "f4"), int(options.get("rows", ROWS))
@@ -280,7 +280,8 @@ class GraphSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known to a session."""
+    """Make the formats known to a session, and let them see filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MatrixSource)
     spark.dataSource.register(GraphSource)
 
