@@ -29,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -11,7 +11,9 @@ def file_system(uri: str):
 
     if not re.match(r"[a-z][a-z0-9+.-]*:", uri):
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    # Hadoop's names for the same stores
+    uri = re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri))
+    return fs.FileSystem.from_uri(uri)
 
 
 def opened(uri: str):
