@@ -133,48 +133,67 @@ def index_bytes(index: Index) -> int:
 
 
 def search_arrow(index: Index, queries: DataFrame, pred: DataFrame, start: DataFrame, params: SearchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same in memory; ValueError for an index over BROADCAST_BYTES."""
+    """The same in memory; ValueError for an index over BROADCAST_BYTES.
+
+    A node's record has its list and its code; nodes without either can't be
+    entered. Neighbours are kept as places in the sorted ids."""
     if index_bytes(index) > BROADCAST_BYTES:
         raise ValueError("the index is too large to broadcast; use bsp")
-    rows = index.adj.join(index.codes, "node_id").select("node_id", "degree", "nbrs", "code").collect()
-    adj = {r[0]: np.array(r[2][: r[1]], np.int64) for r in rows}
-    code = {r[0]: np.array(r[3], np.int64) for r in rows}
-    ok = {m: (frozenset(c), frozenset(a)) for m, c, a in pred.groupBy("mask_id").agg(F.collect_list(F.when(F.col("codes_ok"), F.col("node_id"))), F.collect_list(F.when(F.col("adj_ok"), F.col("node_id")))).collect()}
-    shared = index.adj.sparkSession.sparkContext.broadcast((adj, code, ok))
-    limit, k = params.io_limit if params.io_limit is not None else 1 << 60, index.centroids
+    rows = index.adj.join(index.codes, "node_id").select("node_id", F.slice("nbrs", F.lit(1), F.col("degree")).alias("nbrs"), "code").orderBy("node_id").toPandas()
+    ids = rows["node_id"].to_numpy()
+    lists = rows["nbrs"].tolist()
+    ptr = np.cumsum([0, *map(len, lists)])
+    flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
+    codes = np.array(rows["code"].tolist(), np.int64).reshape(len(rows), -1)
+    codes += np.arange(codes.shape[1]) * index.centroids  # places in a query's flat table
+    flags = pred.select("mask_id", "node_id", "codes_ok", "adj_ok").toPandas()
+    ok = {}
+    for mask, g in flags.groupby("mask_id"):
+        c, a = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        g = g[np.isin(g["node_id"], ids)]
+        c[np.searchsorted(ids, g["node_id"])], a[np.searchsorted(ids, g["node_id"])] = g["codes_ok"], g["adj_ok"]
+        ok[mask] = (c, a)
+    shared = index.adj.sparkSession.sparkContext.broadcast((ids, ptr, at, codes, ok))
+    limit = params.io_limit if params.io_limit is not None else 1 << 60
+
+    def beam(seed: int, table: np.ndarray, codes_ok: np.ndarray, adj_ok: np.ndarray) -> tuple[list[int], list[float], list[int]]:
+        ids, ptr, at, codes, _ = shared.value
+        dist = lambda p: table[codes[p]].cumsum(1)[:, -1]  # noqa: E731 - adds from left to right
+        best = np.searchsorted(ids, [seed])
+        near, seen = dist(best), np.zeros(len(ids), bool)
+        seen[best] = True
+        hop_of = np.zeros(len(ids), np.int32)
+        found: tuple[list, list, list] = ([], [], [])
+        hop = 0
+        while len(found[0]) < limit:
+            front = np.flatnonzero(hop_of[best] == 0)[: params.W]
+            if not len(front):
+                break
+            hop += 1
+            go = best[front]
+            hop_of[go] = hop
+            found[0].extend(go.tolist()), found[1].extend(near[front].tolist()), found[2].extend([hop] * len(go))
+            new = [at[ptr[p] : ptr[p + 1]] for p in go if adj_ok[p]]
+            if not new:
+                continue
+            new = np.concatenate(new)
+            new = np.unique(new[codes_ok[new] & ~seen[new]])
+            seen[new] = True
+            best, near = np.concatenate([best, new]), np.concatenate([near, dist(new)])
+            order = np.lexsort((best, near))[: params.L]
+            best, near = best[order], near[order]
+        return found
 
     def run(batches):
-        adj, code, ok = shared.value
+        ids, ok = shared.value[0], shared.value[4]
         for pdf in batches:
-            out = []
+            out: list[list] = [[] for _ in range(5)]
             for mask, query, seed, table in zip(pdf["mask_id"], pdf["query_id"], pdf["seed"], pdf["adc"], strict=True):
-                codes_ok, adj_ok = ok[mask]
-                table = np.asarray(table)
-                base = np.arange(len(table) // k) * k
-
-                def dist(node, table=table, base=base):
-                    total = 0.0
-                    for x in table[base + code[node]].tolist():
-                        total += x
-                    return total
-
-                known = {int(seed): dist(int(seed))}
-                hops: dict[int, int] = {}
-                hop = 0
-                while len(hops) < limit:
-                    top = sorted((d, n) for n, d in known.items())[: params.L]
-                    frontier = [n for _, n in top if n not in hops][: params.W]
-                    if not frontier:
-                        break
-                    hop += 1
-                    hops.update(dict.fromkeys(frontier, hop))
-                    for n in frontier:
-                        if n in adj_ok and n in adj:
-                            for x in adj[n].tolist():
-                                if x in codes_ok and x not in known:
-                                    known[x] = dist(x)
-                out += [(mask, query, n, known[n], h) for n, h in hops.items()]
-            yield pd.DataFrame(out, columns=["mask_id", "query_id", "node_id", "adc", "hop"])
+                p, d, h = beam(seed, np.asarray(table), *ok[mask])
+                for x, v in zip(out, ([mask] * len(p), [query] * len(p), ids[p].tolist(), d, h), strict=True):
+                    x.extend(v)
+            yield pd.DataFrame(dict(zip(("mask_id", "query_id", "node_id", "adc", "hop"), out, strict=True)))
 
     jobs = start.where("seed IS NOT NULL").select("mask_id", "query_id", "seed").join(index.tables, "query_id")
     jobs = jobs.select("mask_id", "query_id", "seed", "adc").repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -268,6 +268,7 @@ Q: dict[str, Callable[[Fixture], DataFrame]] = {
     "masked_search_expanded": lambda f: f.search(f.pred("random_101", FRACTIONS))[2],
     "masked_search_bsp": lambda f: f.search(f.pred("random_101", FRACTIONS), strategy="bsp")[0],
     "masked_search_full": lambda f: f.search(f.pred("random_101", FRACTIONS), search.SearchParams(50, 4, K))[0],
+    "masked_search_throughput": lambda f: _all_nodes(f),
     "traversal_frequency": lambda f: search.visit_counts(f.nodes, f.search(f.pred("sequential", {"all": 1.0}))[2]),
     "never_visited_fraction": lambda f: search.visit_counts(f.nodes, f.search(f.pred("sequential", {"all": 1.0}))[2]).agg(F.avg((F.col("visits") == 0).cast("int")).alias("never_visited")),
     "recall_at_10_adc_scan": lambda f: metrics.recall_at_k(f.adc_hits.withColumn("mask_id", F.lit("adc")), f.truth, f.queries.select("query_id", F.lit("adc").alias("mask_id"))),
@@ -310,6 +311,16 @@ def _ids(d: DataFrame, name: str) -> DataFrame:
     return d.groupBy("query_id").agg(F.collect_set("node_id").alias(name))
 
 
+def _all_nodes(f: Fixture) -> DataFrame:
+    """Every node as a query, nothing masked, a wide beam."""
+    queries = f.base.select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
+    tables = cut(pq.adc_arrays(pq.adc_table(queries, f.book, f.center, DIMS)))
+    index = search.Index(f.base, f.adj, cut(pq.code_arrays(f.codes)), tables, DIMS)
+    pred = cut(f.pred("sequential", {"all": 1.0}))
+    start = cut(search.seeds(search.entry_of(queries, f.entries, DIMS), pred, f.hops))
+    return search.masked_search(index, queries, pred, start, search.SearchParams(50, 4, K))[0]
+
+
 def _tiers(f: Fixture) -> DataFrame:
     parts = [f.pred("sequential", {m: 1.0}, t) for m, t in (("codes", ("CODES",)), ("codes_adj", ("CODES", "ADJ")), ("full", masks.TIERS))]
     return reduce(DataFrame.unionByName, parts)
