@@ -93,7 +93,11 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, t1, t2, base spans and tokens of every row; written."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(*keep, *common.text_hash(), text.alias("_body"))
-    src = src.select(*keep, "t1", "t2", _base(F.col("_body")).alias("base"), _located(F.col("_body"), TOKEN).alias("tokens"))
+    # every span and token has a digit or an @: one cheap look spares most texts
+    some = F.col("_body").rlike("[0-9@]")
+    base, tokens = _base(F.col("_body")), _located(F.col("_body"), TOKEN)
+    none = [F.array().cast(t) for t in ("array<struct<start:int,k:int,end:int>>", "array<struct<start:int,end:int,token:string,before:string>>")]
+    src = src.select(*keep, "t1", "t2", F.when(some, base).otherwise(none[0]).alias("base"), F.when(some, tokens).otherwise(none[1]).alias("tokens"))
     return common.written(src, "pii-scan")
 
 
