@@ -32,7 +32,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: statistic (one in a million features without effect reaches it).
 BEST, RARE, LEAST_CHI = 2_000, 4, 25.0
 _WORD = re.compile(r"[^\W\d_]+")
-_known: dict[str, tuple[int, ...]] = {}
+#: Words that a task remembers.
+CACHED = 100_000
 
 
 def _of_word(word: str) -> tuple[int, ...]:
@@ -40,15 +41,27 @@ def _of_word(word: str) -> tuple[int, ...]:
     return tuple(zlib.crc32(n.encode()) % DIMS for n in sorted(names))
 
 
-def features(text: str | None) -> np.ndarray:
-    """Sorted numbers of the features of a whole text (null: none)."""
-    words = set(_WORD.findall((text or "").lower()))
-    if len(_known) > 300_000:
-        _known.clear()
-    for w in words:
-        if w not in _known:
-            _known[w] = _of_word(w)
-    return np.array(sorted(set().union(*map(_known.__getitem__, words))), np.int32)
+class Features:
+    """Numbers of the features of whole texts; with a mask, of those in it."""
+
+    def __init__(self, mask: np.ndarray | None = None):
+        self.mask, self.known = mask, {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if len(self.known) > CACHED:
+            self.known = {}
+        out: set[int] = set()
+        get = self.known.get
+        for w in set(_WORD.findall((text or "").lower())):
+            x = get(w)
+            if x is None:
+                x = _of_word(w)
+                if self.mask is not None:
+                    x = tuple(n for n in x if self.mask[n])
+                self.known[w] = x
+            if x:
+                out.update(x)
+        return np.array(sorted(out), np.int32)
 
 
 @dataclass
@@ -65,8 +78,11 @@ class Linear:
 
 def chosen(xs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Which features tell y's classes apart best (a mask)."""
-    with_y = np.concatenate([x for x, t in zip(xs, y, strict=True) if t] or [np.zeros(0, np.int32)])
-    n, ones = np.bincount(np.concatenate([np.zeros(0, np.int32), *xs]), minlength=DIMS), np.bincount(with_y, minlength=DIMS)
+    n, ones = np.zeros(DIMS, np.int64), np.zeros(DIMS, np.int64)
+    for lo in range(0, len(xs), 500):
+        part = list(zip(xs[lo : lo + 500], y[lo : lo + 500], strict=True))
+        n += np.bincount(np.concatenate([x for x, _ in part]), minlength=DIMS)
+        ones += np.bincount(np.concatenate([np.zeros(0, np.int32), *(x for x, t in part if t)]), minlength=DIMS)
     share = y.mean() if len(y) else 0.5
     chi = (ones - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9)
     chi[n < RARE] = 0
@@ -152,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     fields = ["doc_id", *categories, "x"]
 
     def extract(batches):
+        features = Features()
         for b in batches:
             texts = b.column(1).to_pylist()
             x = pa.array([features(t).tobytes() for t in texts], pa.binary())
@@ -159,9 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 
     found = rows.mapInArrow(extract, f"doc_id long, {', '.join(f'{c} double' for c in categories)}, x binary")
     # copies of an id would pass the bound: one row for each
-    found = found.groupBy("doc_id").agg(F.max(F.struct(*fields[1:])).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*").collect()
-    xs = [np.frombuffer(r["x"], np.int32) for r in found]
-    ys = np.array([[r[c] for c in categories] for r in found]).reshape(len(found), len(categories))
+    found = found.groupBy("doc_id").agg(F.max(F.struct(*fields[1:])).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").select("r.*")
+    xs, ys = [], []
+    for r in found.toLocalIterator():  # at most max_rows
+        xs.append(np.frombuffer(r["x"], np.int32))
+        ys.append([r[c] for c in categories])
+    ys = np.array(ys).reshape(len(ys), len(categories))
     return fit_chain(xs, ys)
 
 
@@ -175,8 +195,10 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], categories: tuple[str,
     schema = src.select(*keep, *(F.lit(0.0).alias(n) for n in names)).schema
 
     def run(batches):
+        chain = shared.value
+        features = Features(np.logical_or.reduce([m.w != 0 for m in chain.links]))
         for b in batches:
-            p = np.array([predict(shared.value, features(t)) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(names))
+            p = np.array([predict(chain, features(t)) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(p[:, i]) for i in range(len(names)))], schema=pa.schema([*(b.schema.field(i) for i in range(b.num_columns - 1)), *(pa.field(n, pa.float64()) for n in names)]))
 
     return src.mapInArrow(run, schema)
