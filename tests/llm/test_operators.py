@@ -176,6 +176,42 @@ def test_interval_tree_has_every_interval():
     assert got == want
 
 
+def test_maximal_repeats_equal_brute_force():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(30):
+        gram = "".join(rng.choices("ab", k=4))
+        ctx = [("".join(rng.choices("ab", k=rng.randint(0, 7))), gram + "".join(rng.choices("ab", k=rng.randint(0, 7)))) for _ in range(9)]
+        ctx = list(dict.fromkeys(ctx))
+        left, right = [a.encode() for a, _ in ctx], [b.encode() for _, b in ctx]
+        got = {(b, a, tuple(w)) for b, a, w in suffix_dedup.maximal_repeats(left, right, 6, 4)}
+        want = set()
+        for i in range(len(ctx)):
+            for j in range(i):
+                before = suffix_dedup._common(left[i][::-1], left[j][::-1])
+                after = suffix_dedup._common(right[i], right[j])
+                if before + after >= 6:
+                    tail, head = left[i][len(left[i]) - before :], right[i][:after]
+                    want.add((before, after, tuple(x for x in range(len(ctx)) if left[x].endswith(tail) and right[x].startswith(head))))
+        assert got == want
+
+
+def test_repeat_groups_hold_equal_bytes(docs):
+    texts = collections.defaultdict(set)
+    for r in data.rows():
+        texts[r[0]].add((r[1] or "").encode())
+    groups = collections.defaultdict(list)
+    for g, n, doc, start in table(suffix_dedup.repeat_groups(docs.where("doc_id <> 7 OR doc_id IS NULL"), 60, 16)):
+        groups[g, n].append((doc, start))
+    assert groups
+    for (_, n), places in groups.items():
+        bytes_ = {t[start : start + n] for doc, start in places for t in texts[doc]}
+        assert len(bytes_) == 1 and len(next(iter(bytes_))) == n
+    shared = max(groups.values(), key=len)
+    assert len(shared) > 3
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(2)
     for raw in (rng.integers(97, 100, 5000, dtype=np.uint8).tobytes(), b"a" * 1500, b"ab" * 700):

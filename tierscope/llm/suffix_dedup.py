@@ -152,6 +152,36 @@ def repeated_offsets(left: list[bytes], right: list[bytes], length: int = LENGTH
     return runs
 
 
+def maximal_repeats(left: list[bytes], right: list[bytes], length: int = LENGTH, k: int = GRAM) -> list[tuple[int, int, list[int]]]:
+    """(before, after, occurrences) of every repeat of ``length`` bytes or more
+    around a gram that can't be extended to either side for all its occurrences.
+
+    Each interval of the suffix array is scanned again in the order of reversed
+    left sides: an interval of that order is left-diverse, as its members' left
+    sides differ just beyond the shared part. It is right-diverse unless all its
+    members lie in a deeper interval of the suffix array.
+    """
+    m, back = len(left), [x[::-1] for x in left]
+    suffixes = np.array(sorted(range(m), key=right.__getitem__), np.int64)
+    place = np.empty(m, np.int64)
+    place[suffixes] = np.arange(m)
+    lcp = np.array([0, *(_common(right[a], right[b]) for a, b in zip(suffixes, suffixes[1:], strict=False))])
+    prefixes = np.array(sorted(range(m), key=back.__getitem__), np.int64)
+    rank = np.empty(m, np.int64)
+    rank[prefixes] = np.arange(m)
+    same = np.array([0, *(_common(back[a], back[b]) for a, b in zip(prefixes, prefixes[1:], strict=False))])
+    out = []
+    for i, j, depth in lcp_intervals(lcp, k):
+        inside = np.sort(rank[suffixes[i : j + 1]])
+        shared = np.r_[0, np.minimum.reduceat(same[: inside[-1] + 1], inside[:-1] + 1)]
+        for a, b, before in lcp_intervals(shared, max(0, length - depth)):
+            who = prefixes[inside[a : b + 1]]
+            lo, hi = place[who].min(), place[who].max()
+            if lcp[lo + 1 : hi + 1].min() == depth:
+                out.append((before, depth, sorted(who.tolist())))
+    return out
+
+
 def _union(runs: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in sorted(runs):
@@ -165,12 +195,10 @@ def _union(runs: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
 # ---- the distributed operator ---------------------------------------------------------
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
-    """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
-
-    docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
-    ``cap`` different contexts are cut into chunks of which each pair is compared.
-    """
+def _contexts(docs: DataFrame, length: int, k: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Occurrences of anchors (found), their different contexts whose gram occurs
+    again (contexts), and the bytes of those whose gram has several, in groups
+    (blocks: h, cx, n, left, right, bi, bj, bucket)."""
     common.tune(docs.sparkSession)
 
     def find(batches):
@@ -216,6 +244,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     blocks = common.in_blocks(pieces, ["h"], "cx", cap)
     groups = max(common.salts(docs), pieces.count() // 5_000 + 1)
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("h", "bi", "bj"), F.lit(groups)))
+    return found, contexts, blocks
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
+    """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
+
+    docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
+    ``cap`` different contexts are cut into chunks of which each pair is compared.
+    """
+    found, contexts, blocks = _contexts(docs, length, k, cap)
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -243,6 +281,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     return hit.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
+def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
+    """Maximal repeats with all their occurrences: group_id, n_bytes, doc_id, start.
+
+    A repeat is maximal within the bytes that its anchor's windows see, so a long
+    passage comes as several groups that overlap. group_id is a hash of the
+    repeated bytes and their anchor; starts are byte offsets. Rows without an id
+    have a null doc_id; equal rows of docs count as one place.
+    """
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
+    found, contexts, blocks = _contexts(src, length, k, cap)
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (h, _, _), g in pdf.groupby(["h", "bi", "bj"], sort=False):
+            g = g.drop_duplicates("cx")
+            left, right, cx = g["left"].tolist(), g["right"].tolist(), g["cx"].tolist()
+            for before, after, who in maximal_repeats(left, right, length, k) if len(g) > 1 else []:
+                one = left[who[0]][len(left[who[0]]) - before :] + right[who[0]][:after]
+                key = xxhash.xxh3_64_intdigest(one, seed=before) - (1 << 63)
+                out += [(key, h, cx[i], before, before + after) for i in who]
+        return pd.DataFrame(out, columns=["group_id", "h", "cx", "before", "n_bytes"])
+
+    groups = blocks.groupBy("bucket").applyInPandas(scan, "group_id long, h long, cx binary, before long, n_bytes long")
+    # a context that occurs again is a repeat of its own
+    whole = contexts.where("n > 1").select(F.xxhash64("cx").alias("group_id"), "h", "cx", (F.col("pos") - F.col("lo")).alias("before"), (F.col("hi") + length - F.col("lo")).alias("n_bytes"))
+    members = groups.union(whole).distinct()
+    return members.join(found, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
