@@ -158,6 +158,20 @@ def test_repeats_equal_brute_force(docs, length, gram, cap):
     assert counted(table(suffix_dedup.remove_repeats(some, length, gram, cap))) == want
 
 
+@pytest.mark.parametrize("cap", [2, 5])
+def test_a_passage_that_all_texts_share(spark, cap):
+    import random
+
+    rng = random.Random(11)
+    noise = lambda a, b: "".join(rng.choices("abc", k=rng.randint(a, b)))
+    passage, tail = noise(90, 90), noise(45, 45)
+    texts = [noise(0, 120) + passage + (tail if i % 3 else "") + noise(0, 120) for i in range(60)] + [passage, passage[:70], tail * 3]
+    texts += [texts[0], texts[1][5:], passage * 2]
+    want = counted((i, *x) for i, x in enumerate(plain_removal([t.encode() for t in texts], 60)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert counted(table(suffix_dedup.remove_repeats(df, 60, 16, cap))) == want
+
+
 def test_repeats_of_an_empty_table(spark):
     assert table(suffix_dedup.remove_repeats(data.empty(spark))) == []
 

@@ -195,10 +195,10 @@ def _union(runs: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
 # ---- the distributed operator ---------------------------------------------------------
 
 
-def _contexts(docs: DataFrame, length: int, k: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _contexts(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Occurrences of anchors (found), their different contexts whose gram occurs
-    again (contexts), and the bytes of those whose gram has several, in groups
-    (blocks: h, cx, n, left, right, bi, bj, bucket)."""
+    again (contexts), and the bytes of those whose gram has several (pieces:
+    h, cx, n, left, right)."""
     common.tune(docs.sparkSession)
 
     def find(batches):
@@ -241,35 +241,101 @@ def _contexts(docs: DataFrame, length: int, k: int, cap: int) -> tuple[DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "cx", "n", "left", "right"])
 
     pieces = common.written(texts.mapInArrow(cut, "h long, cx binary, n long, left binary, right binary"), "pieces")
-    blocks = common.in_blocks(pieces, ["h"], "cx", cap)
-    groups = max(common.salts(docs), pieces.count() // 5_000 + 1)
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("h", "bi", "bj"), F.lit(groups)))
-    return found, contexts, blocks
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
-    """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
-
-    docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
-    ``cap`` different contexts are cut into chunks of which each pair is compared.
+    return found, contexts, pieces
+
+
+def _bins(length: int, k: int) -> list[int]:
+    """Widths of offset ranges into which hot keys are cut, level by level."""
+    widths, w = [], length - k + 1
+    while w > 1:
+        w = max(1, w // 7)
+        widths.append(w)
+    return widths
+
+
+def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
+    """(h, cx, near, far): runs of offsets at which a context that occurs once has
+    a repeated window.
+
+    Keys of up to ``cap`` contexts are scanned whole. A hot key is cut by the
+    offset of the window: all windows of a range of offsets share a core, so
+    contexts can only share one of them if they have the same core, which makes
+    the new key. Within a passage that all contexts have, their bytes for a range
+    are equal and collapse to one row; outside it, cores differ; only the few
+    ranges at its ends stay hot and are cut again, down to single offsets, where
+    the core is the window itself. So each context makes a bounded number of rows
+    a level, however many share its key.
     """
-    found, contexts, blocks = _contexts(docs, length, k, cap)
+    runs = "near array<long>, far array<long>"
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (h, _, _), g in pdf.groupby(["h", "bi", "bj"], sort=False):
-            g = g.drop_duplicates("cx")
-            if len(g) < 2:
-                continue
-            runs = repeated_offsets(g["left"].tolist(), g["right"].tolist(), length, k)
-            for cx, n, r in zip(g["cx"], g["n"], runs, strict=True):
+        for g, rows in pdf.groupby("g", sort=False):
+            found = repeated_offsets(rows["left"].tolist(), rows["right"].tolist(), length, k)
+            for c, n, r in zip(rows["c"], rows["n"], found, strict=True):
                 if r and n == 1:
                     r = _union(r)
-                    out.append((h, cx, [x[0] for x in r], [x[1] for x in r]))
-        return pd.DataFrame(out, columns=["h", "cx", "near", "far"])
+                    out.append((g, c, [x[0] for x in r], [x[1] for x in r]))
+        return pd.DataFrame(out, columns=["g", "c", "near", "far"])
+
+    now = pieces.select(F.col("h").alias("g"), F.col("cx").alias("c"), "n", "left", "right").dropDuplicates(["g", "c"])
+    members, out = None, None  # members: g, c -> h, cx, at levels below the first
+    for width in [*_bins(length, k), 0]:
+        hot = now.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > cap).select("g") if width else None
+        hot = common.written(hot, "hot") if hot is not None else None
+        last = hot is None or hot.isEmpty()
+        cold = now if last else now.join(hot, "g", "left_anti")
+        groups = max(common.salts(pieces), now.count() // 2_000 + 1)
+        marks = cold.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("bucket").applyInPandas(scan, f"g long, c binary, {runs}")
+        mine = marks.select(F.col("g").alias("h"), F.col("c").alias("cx"), "near", "far") if members is None else marks.join(members, ["g", "c"]).select("h", "cx", "near", "far")
+        out = mine if out is None else out.unionByName(mine)
+        if last:
+            break
+
+        def cut(batches, width=width):
+            names = ["g0", "c0", "g", "c", "n", "left", "right", "lo", "hi"]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            for b in batches:
+                rows: list[list] = [[] for _ in names]
+                for g, c, n, left, right in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    first, last_ = max(0, length - len(right)), len(left)
+                    for lo in range(first // width * width, last_ + 1, width):
+                        hi = min(lo + width - 1, length - k)
+                        core = left[len(left) - lo :] + right[: length - hi] if lo <= len(left) else b""
+                        if len(core) < lo + length - hi:
+                            continue  # the context is too short for any window here
+                        part = left[max(0, len(left) - hi) :], right[: length - lo]
+                        key = xxhash.xxh3_64_intdigest(core, seed=lo * 1009 + width) ^ (g & 0xFFFFFFFFFFFFFFFF)
+                        key -= (key >> 63) << 64
+                        whole = xxhash.xxh3_128_digest(b"".join(part), seed=len(part[0]))
+                        for x, v in zip(rows, (g, c, key, whole, n, *part, max(lo, first), min(hi, last_)), strict=True):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
+
+        big = now.join(hot, "g", "left_semi").select("g", "c", "n", "left", "right")
+        made = common.written(big.mapInArrow(cut, "g0 long, c0 binary, g long, c binary, n long, left binary, right binary, lo long, hi long"), "cut")
+        if members is None:
+            below = made.select("g", "c", F.col("g0").alias("h"), F.col("c0").alias("cx"))
+        else:
+            below = made.select("g", "c", "g0", "c0").join(members.select(F.col("g").alias("g0"), F.col("c").alias("c0"), "h", "cx"), ["g0", "c0"]).select("g", "c", "h", "cx")
+        members = common.written(below, "members")
+        kinds_ = made.groupBy("g", "c").agg(F.sum("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        kinds_ = common.written(kinds_, "kinds")
+        equal = kinds_.where("n > 1").select("g", "c", F.array("lo").alias("near"), F.array("hi").alias("far"))
+        out = out.unionByName(equal.join(members, ["g", "c"]).select("h", "cx", "near", "far"))
+        several = kinds_.groupBy("g").agg(F.count("*").alias("_n")).where("_n > 1").select("g")
+        now = common.written(kinds_.join(several, "g", "left_semi").select("g", "c", "n", "left", "right"), "now")
+    return out.groupBy("h", "cx").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("far")).alias("far"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 2_000) -> DataFrame:
+    """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
 
-    some = blocks.groupBy("bucket").applyInPandas(scan, "h long, cx binary, near array<long>, far array<long>")
-    some = some.groupBy("h", "cx").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("far")).alias("far"))
+    docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
+    ``cap`` different contexts are cut by offsets; see ``_marks``.
+    """
+    found, contexts, pieces = _contexts(docs, length, k)
+    some = _marks(pieces, length, k, cap)
     whole = contexts.where("n > 1").select("h", "cx", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<long>").alias("far"))
     marks = whole.union(some)
     hit = found.join(marks, ["h", "cx"])
@@ -287,11 +353,15 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     A repeat is maximal within the bytes that its anchor's windows see, so a long
     passage comes as several groups that overlap. group_id is a hash of the
     repeated bytes and their anchor; starts are byte offsets. Rows without an id
-    have a null doc_id; equal rows of docs count as one place.
+    have a null doc_id; equal rows of docs count as one place. Grams with over
+    ``cap`` different contexts are cut into chunks of which each pair is compared.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
-    found, contexts, blocks = _contexts(src, length, k, cap)
+    found, contexts, pieces = _contexts(src, length, k)
+    blocks = common.in_blocks(pieces, ["h"], "cx", cap)
+    groups = max(common.salts(docs), pieces.count() // 5_000 + 1)
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("h", "bi", "bj"), F.lit(groups)))
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -311,7 +381,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     return members.join(found, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 2_000, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if some ``length``-byte string that covers it starts anywhere
