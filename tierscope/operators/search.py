@@ -126,10 +126,10 @@ def search_bsp(index: Index, queries: DataFrame, pred: DataFrame, start: DataFra
     return _finish(marked, index, queries, pred, start, params)
 
 
-def index_bytes(index: Index) -> int:
-    """What a broadcast of the index would weigh, about."""
+def index_bytes(index: Index, pred: DataFrame) -> int:
+    """What a broadcast of the index and the masks would weigh, about."""
     n, edges = index.adj.agg(F.count("*"), F.sum("degree")).first()
-    return int((n or 0) * (8 * index.dims + 64) + 8 * (edges or 0))
+    return int((n or 0) * (8 * index.dims + 64) + 8 * (edges or 0) + 16 * pred.count())
 
 
 def search_arrow(index: Index, queries: DataFrame, pred: DataFrame, start: DataFrame, params: SearchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def search_arrow(index: Index, queries: DataFrame, pred: DataFrame, start: DataF
 
     A node's record has its list and its code; nodes without either can't be
     entered. Neighbours are kept as places in the sorted ids."""
-    if index_bytes(index) > BROADCAST_BYTES:
+    if index_bytes(index, pred) > BROADCAST_BYTES:
         raise ValueError("the index is too large to broadcast; use bsp")
     rows = index.adj.join(index.codes, "node_id").select("node_id", F.slice("nbrs", F.lit(1), F.col("degree")).alias("nbrs"), "code").orderBy("node_id").toPandas()
     ids = rows["node_id"].to_numpy()
@@ -204,7 +204,7 @@ def search_arrow(index: Index, queries: DataFrame, pred: DataFrame, start: DataF
 def masked_search(index: Index, queries: DataFrame, pred: DataFrame, start: DataFrame, params: SearchParams, strategy: str = "auto"):
     """(hits, stats, expanded); ``auto`` broadcasts an index that is small."""
     if strategy == "auto":
-        strategy = "arrow" if index_bytes(index) <= BROADCAST_BYTES else "bsp"
+        strategy = "arrow" if index_bytes(index, pred) <= BROADCAST_BYTES else "bsp"
     if strategy not in ("arrow", "bsp"):
         raise ValueError(f"unknown strategy: {strategy}")
     return (search_arrow if strategy == "arrow" else search_bsp)(index, queries, pred, start, params)
