@@ -271,6 +271,9 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for g, rows in pdf.groupby("g", sort=False):
+            rows = rows.drop_duplicates("c")  # equal rows of docs bring a context twice
+            if len(rows) < 2:
+                continue
             found = repeated_offsets(rows["left"].tolist(), rows["right"].tolist(), length, k)
             for c, n, r in zip(rows["c"], rows["n"], found, strict=True):
                 if r and n == 1:
@@ -278,7 +281,7 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
                     out.append((g, c, [x[0] for x in r], [x[1] for x in r]))
         return pd.DataFrame(out, columns=["g", "c", "near", "far"])
 
-    now = pieces.select(F.col("h").alias("g"), F.col("cx").alias("c"), "n", "left", "right").dropDuplicates(["g", "c"])
+    now = pieces.select(F.col("h").alias("g"), F.col("cx").alias("c"), "n", "left", "right")
     members, out = None, None  # members: g, c -> h, cx, at levels below the first
     for width in [*_bins(length, k), 0]:
         hot = now.groupBy("g").agg(F.count("*").alias("_n")).where(F.col("_n") > cap).select("g") if width else None
@@ -312,7 +315,7 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
                             x.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
-        big = now.join(hot, "g", "left_semi").select("g", "c", "n", "left", "right")
+        big = now.join(hot, "g", "left_semi").select("g", "c", "n", "left", "right").dropDuplicates(["g", "c"])
         made = common.written(big.mapInArrow(cut, "g0 long, c0 binary, g long, c binary, n long, left binary, right binary, lo long, hi long"), "cut")
         if members is None:
             below = made.select("g", "c", F.col("g0").alias("h"), F.col("c0").alias("cx"))
@@ -328,7 +331,7 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
     return out.groupBy("h", "cx").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("far")).alias("far"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 2_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000) -> DataFrame:
     """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
 
     docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
@@ -381,7 +384,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     return members.join(found, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 2_000, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000, with_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if some ``length``-byte string that covers it starts anywhere
