@@ -121,6 +121,19 @@ def test_near_copies_equal_brute_force(docs):
     assert counted(r[0] for r in table(out)) == counted(None if x[0] else x[1] for x in best.values())
 
 
+def test_a_repeated_line_does_not_part_near_copies(spark):
+    import random
+
+    rng = random.Random(21)
+    stock = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(6):
+        base, line = data.words(rng, 300, stock), data.words(rng, 10, stock)
+        rows += [(2 * i, f"{base} {line}"), (2 * i + 1, f"{base}{f' {line}' * 20}")]
+    out = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6, 8, 10]
+
+
 def test_linked_sets_with_a_small_cap(spark, docs):
     some = docs.where("doc_id < 80")
     a = counted(r[0] for r in table(near_copies.drop_near_copies(some)))

@@ -68,7 +68,7 @@ def near_classes(docs: DataFrame, cap: int = 4_000) -> DataFrame:
     docs has doc_id, t1, t2 and text. Candidate classes over ``cap`` texts are
     cut into chunks of which every pair is compared.
     """
-    fps = common.written(simhash.fingerprints(docs, WIDTH, WORDS, keep=("doc_id", "t1", "t2")), "near-fps")
+    fps = common.written(simhash.fingerprints(docs, WIDTH, WORDS, keep=("doc_id", "t1", "t2"), distinct=True), "near-fps")
     texts = fps.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
     texts = common.written(texts.withColumn("node", F.xxhash64("t1", "t2")), "near-texts")
     loose = simhash.gray_links(texts.select("node", "fp"), RADIUS, tables_for(texts.count()), WORDS)

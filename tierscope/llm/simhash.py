@@ -72,8 +72,11 @@ def fingerprint(h: np.ndarray, n_words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``fp``: n_words little-endian 64-bit words (binary)."""
+def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, keep: tuple[str, ...] = ("doc_id",), distinct: bool = False) -> DataFrame:
+    """``keep`` columns and ``fp``: n_words little-endian 64-bit words (binary).
+
+    Shingles vote as often as they occur, or once each if ``distinct``.
+    """
     common.tune(docs.sparkSession)
     src = docs.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = src.select(*keep, F.lit(b"").alias("fp")).schema
@@ -81,7 +84,8 @@ def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1, keep: tuple[
     def run(batches):
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            fp = [fingerprint(shingle_hashes(words_of(t), width), n_words).tobytes() for t in texts]
+            hashes = (shingle_hashes(words_of(t), width) for t in texts)
+            fp = [fingerprint(np.unique(h) if distinct else h, n_words).tobytes() for h in hashes]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(fp, pa.binary())], names=[*keep, "fp"])
 
     return src.mapInArrow(run, schema)
