@@ -134,6 +134,40 @@ def test_a_repeated_line_does_not_part_near_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 6, 8, 10]
 
 
+def test_short_near_copies_are_all_found(spark):
+    import random
+
+    rng = random.Random(22)
+    stock = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3000)]
+    rows = []
+    for i in range(300):
+        text = data.words(rng, (8, 9, 12, 28, 34)[i % 5], stock)
+        rows += [(2 * i, text), (2 * i + 1, f"{text} one")]
+    df = spark.createDataFrame([*rows, (9000, ""), (9001, " ")], "doc_id long, text string")
+    want = sorted({2 * i for i in range(300)} | {9000})
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(df).collect()) == want
+    slim = df.select("doc_id", "text", *near_copies.common.text_hash())
+    assert near_copies.near_classes(slim, cap=2).select("root").distinct().count() == len(want)
+
+
+def test_miss_of_the_tables_keeps_to_its_bound():
+    import math
+
+    def apart(a, b, both):  # chance that majorities of sets with these own and shared grams differ
+        share = np.array([math.comb(both, s) / 2**both for s in range(both + 1)])
+        over = lambda n: np.array([sum(math.comb(n, j) for j in range(max(0, (n + both) // 2 + 1 - s), n + 1)) / 2**n for s in range(both + 1)])
+        x, y = over(a), over(b)
+        return float(share @ (x * (1 - y) + y * (1 - x)))
+
+    for n in (*range(near_copies.SHORT + 1, 60), 100, 200):
+        for m in range(n, near_copies.longest_partner(n) + 1):
+            both = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+            assert both > n or apart(n - both, m - both, both) <= near_copies.APART
+    for n in (1000, 10**6):
+        tables = near_copies.tables_for(n)
+        assert near_copies.missed(near_copies.APART, len(tables[0]), len(tables)) <= near_copies.MISS
+
+
 def test_linked_sets_with_a_small_cap(spark, docs):
     some = docs.where("doc_id < 80")
     a = counted(r[0] for r in table(near_copies.drop_near_copies(some)))

@@ -2,10 +2,13 @@
 
 A pair at the similarity differs in many of 64 bits, so this use of the SimHash
 index takes 256-bit fingerprints of word 5-grams, tables of sampled bits, and a
-radius that such pairs keep to. The number of sampled bits follows the number of
-documents, and the number of tables follows the bits, so that a pair *at* the
-similarity is missed by all tables with a probability of at most ``MISS``; more
-similar pairs are missed far less often. Candidate links only say which documents
+radius that most such pairs keep to. The number of sampled bits follows the number
+of documents, and the number of tables follows the bits and the spread of the
+differing bits, so that a pair *at* the similarity is missed, by the radius or by
+all tables, with a probability of at most ``MISS``; more similar pairs are missed
+far less often. Fingerprints of few 5-grams differ more than that, so pairs of
+which one text has at most ``SHORT`` different 5-grams are found exactly, by the
+prefixes of their sorted gram hashes. Candidate links only say which documents
 must be looked at together: within a class of such links, all pairs are compared
 by their whole 5-gram sets.
 """
@@ -23,14 +26,94 @@ from pyspark.sql import functions as F
 from tierscope.llm import common, simhash
 
 WIDTH, SIMILARITY, WORDS, RADIUS, MISS = 5, 0.8, 4, 58, 0.005
+#: Pairs whose smaller set has at most this many grams don't rely on fingerprints.
+SHORT = 32
+#: Largest share of bits in which a longer pair at the similarity differs on average.
+APART = 0.1552
+
+
+def longest_partner(n: int) -> int:
+    """Grams that a set can have at most to be close to one of n."""
+    return math.floor(n / SIMILARITY + 1e-9)
+
+
+def missed(apart: float, bits: int, tables: int) -> float:
+    """Probability that a pair whose bits differ with probability ``apart`` is
+    beyond the radius or meets in none of the tables."""
+    total, out = 64 * WORDS, 0.0
+    for k in range(total + 1):
+        meets = math.comb(total - k, bits) / math.comb(total, bits) if k <= RADIUS else 0.0
+        out += math.comb(total, k) * apart**k * (1 - apart) ** (total - k) * (1 - meets) ** tables
+    return out
 
 
 def tables_for(n: int) -> list[list[int]]:
     """Sampled bits for n documents: groups stay small, and misses rare."""
     bits = max(12, math.ceil(math.log2(max(n, 2))) - 6)
-    angle = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
-    tables = math.ceil(math.log(MISS) / math.log(1 - (1 - angle) ** bits))
-    return simhash.sampled_tables(bits, tables, 64 * WORDS)
+    low, high = 0, 1
+    while missed(APART, bits, high) > MISS:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(APART, bits, mid) > MISS else (low, mid)
+    return simhash.sampled_tables(bits, high, 64 * WORDS)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, fp, size (of the 5-gram set) and, for sets that a short one
+    can be close to, the sorted set (grams)."""
+    common.tune(docs.sparkSession)
+
+    def run(batches):
+        names = ["doc_id", "t1", "t2", "fp", "size", "grams"]
+        for b in batches:
+            sets = [np.unique(simhash.shingle_hashes(simhash.words_of(t), WIDTH)) for t in b.column(3).to_pylist()]
+            fp = [simhash.fingerprint(x, WORDS).tobytes() for x in sets]
+            grams = [x.tobytes() if len(x) <= longest_partner(SHORT) else None for x in sets]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(fp, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(grams, pa.binary())], names=names)
+
+    src = docs.select("doc_id", "t1", "t2", F.col("text").cast("string").alias("text"))
+    schema = src.select("doc_id", "t1", "t2", F.lit(b"").alias("fp"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("binary").alias("grams")).schema
+    return src.mapInArrow(run, schema)
+
+
+def short_links(texts: DataFrame, cap: int = 4_000) -> DataFrame:
+    """Links (a, b) that span all close pairs of the given texts (node, grams).
+
+    Two close sets of n and m grams share at least ``SIMILARITY`` of either, so
+    their least shared gram is among the first n - ceil(SIMILARITY * n) + 1 of
+    one and the like of the other: one row for each of these grams lets every
+    such pair meet. Keys with over ``cap`` rows are cut into chunks of which
+    every pair is compared.
+    """
+
+    def spread(batches):
+        for b in batches:
+            keys, at, raw = [], [], b.column(1).to_pylist()
+            for i, x in enumerate(raw):
+                g = np.frombuffer(x, np.int64)
+                first = g[: len(g) - math.ceil(SIMILARITY * len(g) - 1e-9) + 1] if len(g) else np.zeros(1, np.int64)
+                keys.append(first), at.append(np.full(len(first), i))
+            if keys:
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), b.column(0).take(at), b.column(1).take(at)], names=["key", "node", "grams"])
+
+    rows = texts.select("node", "grams").mapInArrow(spread, "key long, node long, grams binary")
+    rows = common.in_blocks(rows, ["key"], "node", cap)
+    groups = max(common.salts(texts), texts.count() // 2_000 + 1)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(groups)))
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        pdf = pdf[pdf.duplicated(["key", "bi", "bj"], keep=False)]
+        for _, g in pdf.groupby(["key", "bi", "bj"], sort=False):
+            label = linked([np.frombuffer(x, np.uint64) for x in g["grams"]])
+            far, node = label != np.arange(len(g)), g["node"].to_numpy()
+            a.append(node[far]), b.append(node[label[far]])
+        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pd.DataFrame({"a": cat(a), "b": cat(b)})
+
+    return rows.groupBy("bucket").applyInPandas(links, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -68,10 +151,11 @@ def near_classes(docs: DataFrame, cap: int = 4_000) -> DataFrame:
     docs has doc_id, t1, t2 and text. Candidate classes over ``cap`` texts are
     cut into chunks of which every pair is compared.
     """
-    fps = common.written(simhash.fingerprints(docs, WIDTH, WORDS, keep=("doc_id", "t1", "t2"), distinct=True), "near-fps")
-    texts = fps.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
+    fps = common.written(described(docs), "near-fps")
+    texts = fps.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "grams")])
     texts = common.written(texts.withColumn("node", F.xxhash64("t1", "t2")), "near-texts")
-    loose = simhash.gray_links(texts.select("node", "fp"), RADIUS, tables_for(texts.count()), WORDS)
+    loose = simhash.gray_links(texts.where(F.col("size") > SHORT).select("node", "fp"), RADIUS, tables_for(texts.count()), WORDS)
+    loose = loose.union(short_links(texts.where("grams IS NOT NULL"), cap))
     loose = common.connected(loose, "near-loose")
     together = loose.union(loose.select(F.col("root").alias("node"), "root")).distinct()
     wanted = texts.join(together, "node").select("node", "root", "least", "t1", "t2")
