@@ -529,6 +529,21 @@ def test_bootstrap_adds_an_instance_of_an_accepted_pattern(spark):
     assert got[0][0] == 1 and got[4] == (0, "card:16:32")
 
 
+def test_bootstrap_finds_unseen_forms(spark):
+    rows = [(i, f"please call, my number: +44 20 7183 87{i:02d} thanks for all") for i in range(20)]
+    rows += [(100 + i, f"write to address mail: user{i}@host.example now") for i in range(20)]
+    rows += [(300 + i, f"the server with ip 10.0.{i}.1 is up") for i in range(20)]
+    new = {200: ("please call, my number: 020 7183 8701, thanks", "phone", "020 7183 8701"), 201: ("write to address mail: user77@host. Now", "email", "user77@host"),
+           202: ("the server with ip fe80::1:20 is up", "ip", "fe80::1:20"), 203: ("my number: 12 was drawn", None, None), 204: ("😀 now my number: (020)7183-8702 or so", "phone", "(020)7183-8702")}
+    # found only by what the first rounds add: the same number in another context, and that context's others
+    rows += [(400 + i, f"please call, my number: 020 7000 100{i}") for i in range(3)] + [(410 + i, f"or by telex code 020 7000 100{i}") for i in range(3)]
+    new[420] = ("or by telex code 030-555-1212", "phone", "030-555-1212")
+    rows += [(i, t) for i, (t, _, _) in new.items()]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (text, kind, found) in new.items():
+        assert got[i] == (f"{kind}:{text.index(found)}:{text.index(found) + len(found)}" if kind else "")
+
+
 def test_redaction_keeps_rows_and_columns(docs, spark):
     out = pii.redact(docs)
     assert out.columns == docs.columns and counted(r[0] for r in table(out)) == counted(r[0] for r in data.rows())

@@ -2,12 +2,14 @@
 
 Base spans come from four expressions. They seed a bootstrap over the whole
 corpus: every token with a digit or an @ is an occurrence with a lexical pattern
-(the two words before it, and the token's shape) and an instance (the token).
-Rounds of aggregation over the distinct pattern-instance edges score patterns by
-the share of their instances known for a kind, and instances by the patterns
-that accept them; accepted instances are known in the next round. Occurrences
-that an accepted pattern finds at an accepted instance, outside base spans,
-become spans of the pattern's kind.
+(the two words before it) and an instance (the identifier that starts there: a
+base span, or the token with the groups of digits that follow it). Rounds of
+aggregation over the distinct pattern-instance edges score patterns by the share
+of their instances known for a kind, and instances by the patterns that accept
+them, if they could be of that kind at all (``_plausible``); accepted instances
+are known in the next round, whatever their form. Occurrences that an accepted
+pattern finds at an accepted instance, outside base spans, become spans of the
+pattern's kind.
 
 The expressions are the specified ones made linear: runs are possessive, and a
 match starts at the end of the match before or at the start of its run, where
@@ -28,9 +30,20 @@ PATTERNS = {
     "card": r"(?=[0-9][\x20-]?[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A token; what it captures is up to 19 groups of digits that follow it. No
+#: identifier has more than 19 digits, so none is cut.
+TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?=((?:\x20[(]?[0-9][().0-9-]*+(?![^\s,;:!?\"'\]>])){0,19}+))"
+#: Forms that an identifier may have, far looser than the base expressions.
+LOOSE = {
+    "email": r"^[^\s@]+@[^\s@]+$",
+    "ip": r"^([0-9]+([.][0-9]+){3}(:[0-9]+)?|[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7})(/[0-9]+)?$",
+    "card": r"^[0-9][0-9 .-]*$",
+    "phone": r"^[+(]*[0-9][0-9 ().+/-]*$",
+}
+DIGITS = {"card": (12, 19), "phone": (7, 15)}
 #: A pattern needs this many known instances, and this share of all its instances.
 SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
+TOKENS = "array<struct<start:int,end:int,token:string,before:string,more:string>>"
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -89,14 +102,29 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def _tokens(text: Column) -> Column:
+    """array<struct<start, end, token, before, more>>; more: the groups after it."""
+    more = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+    return F.zip_with(_located(text, TOKEN), more, lambda t, m: t.withField("more", m)).cast(TOKENS)
+
+
+def _plausible(instance: Column, kind: Column) -> Column:
+    """Whether a text could be an identifier of the kind with this number."""
+    n, out = F.length(F.regexp_replace(instance, "[^0-9]", "")), F.lit(False)
+    for k, name in enumerate(KINDS):
+        fits = instance.rlike(LOOSE[name])
+        out = F.when(kind == k, fits & n.between(*DIGITS[name]) if name in DIGITS else fits).otherwise(out)
+    return out
+
+
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, t1, t2, base spans and tokens of every row; written."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(*keep, *common.text_hash(), text.alias("_body"))
     # every span and token has a digit or an @: one cheap look spares most texts
     some = F.col("_body").rlike("[0-9@]")
-    base, tokens = _base(F.col("_body")), _located(F.col("_body"), TOKEN)
-    none = [F.array().cast(t) for t in ("array<struct<start:int,k:int,end:int>>", "array<struct<start:int,end:int,token:string,before:string>>")]
+    base, tokens = _base(F.col("_body")), _tokens(F.col("_body"))
+    none = [F.array().cast(t) for t in ("array<struct<start:int,k:int,end:int>>", TOKENS)]
     src = src.select(*keep, "t1", "t2", F.when(some, base).otherwise(none[0]).alias("base"), F.when(some, tokens).otherwise(none[1]).alias("tokens"))
     return common.written(src, "pii-scan")
 
@@ -104,20 +132,28 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(t1, t2, added): spans per text that context patterns add."""
     one = scanned.select("t1", "t2", "base", F.explode("tokens").alias("t"))
-    hit = lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))
     starts = lambda s: (s["start"] >= F.col("t.start")) & (s["start"] < F.col("t.end"))
+    hit = lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))
     words = F.split(F.trim(F.regexp_replace(F.lower(F.col("t.before")), r"\s+", " ")), " ")
-    shape = F.regexp_replace(F.regexp_replace(F.col("t.token"), "[0-9]+", "9"), "[A-Za-z]+", "a")
+    # a group of digits goes on with those after it, unless a base span starts there
+    whole = F.concat("t.token", "t.more")
+    follows = F.exists("base", lambda s: (s["start"] >= F.col("t.end")) & (s["start"] < F.col("t.end") + F.length("t.more")))
+    number = F.col("t.token").rlike(r"^[+(]*[0-9][().0-9-]*$") & ~F.col("t.token").rlike(r"^[0-9]+([.][0-9]+){3}$")
+    raw = F.when(number & ~follows, whole).otherwise(F.col("t.token"))
+    free = F.regexp_replace(raw, r"""^[<"'\[{]+""", "")
+    own = F.try_element_at(F.filter("base", starts), F.lit(1))
+    one = one.select("t1", "t2", "base", "t", words.alias("words"), own.alias("own"), whole.alias("whole"), F.regexp_replace(free, r"[^\p{L}\p{N}]+$", "").alias("free"), (F.col("t.start") + F.length(raw) - F.length(free)).alias("at"))
+    mine = F.col("own").isNotNull()
     seen = one.select(
-        "t1", "t2", F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-        F.lower("t.token").alias("instance"),
-        F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)).alias("context"), F.left(shape, F.lit(64)).alias("shape"),
-        F.exists("base", hit).alias("covered"),
-        F.try_element_at(F.transform(F.filter("base", starts), lambda s: s["k"]), F.lit(1)).alias("k"),
+        "t1", "t2", "base", F.when(mine, F.col("own.start")).otherwise(F.col("at")).alias("start"),
+        F.when(mine, F.col("own.end")).otherwise(F.col("at") + F.length("free")).alias("end"),
+        F.lower(F.when(mine, F.col("whole").substr(F.col("own.start") - F.col("t.start") + 1, F.col("own.end") - F.col("own.start"))).otherwise(F.col("free"))).alias("instance"),
+        F.slice("words", F.greatest(F.size("words") - 1, F.lit(1)), F.lit(2)).alias("context"), F.col("own.k").alias("k"),
     )
+    seen = seen.withColumn("covered", F.exists("base", hit)).drop("base")
     # a token inside a base span that starts in an earlier token is no occurrence
     seen = seen.where("(k IS NOT NULL OR NOT covered) AND array_join(context, '') <> ''")
-    seen = common.written(seen.withColumn("pattern", F.concat_ws(" ", "context", "shape")).drop("context", "shape"), "pii-seen")
+    seen = common.written(seen.withColumn("pattern", F.concat_ws(" ", "context")).drop("context"), "pii-seen")
     edges = common.written(seen.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "pii-edges")
     known = edges.where("k IS NOT NULL").groupBy("instance").agg(F.min("k").alias("kind"))
     accepted = None
@@ -128,7 +164,7 @@ def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CON
         accepted = total.where(F.col("best.n") >= support).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.n") / F.col("total")).alias("score")).where(F.col("score") >= confidence)
         accepted = common.written(accepted, "pii-patterns")
         miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
-        found = edges.join(accepted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"))
+        found = edges.drop("k").join(accepted, "pattern").where(_plausible(F.col("instance"), F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"))
         found = found.where(F.col("score") >= confidence).groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"))
         known = common.written(known.union(found.join(known, "instance", "left_anti")), "pii-known")
     new = seen.where("NOT covered").join(accepted.withColumnRenamed("kind", "pk"), "pattern").join(known, "instance").where("pk = kind")
