@@ -544,6 +544,14 @@ def test_bootstrap_finds_unseen_forms(spark):
         assert got[i] == (f"{kind}:{text.index(found)}:{text.index(found) + len(found)}" if kind else "")
 
 
+def test_contexts_reach_over_tokens_and_the_start(spark):
+    rows = [(i, f"log line {i}: 10.0.{i}.1 ok") for i in range(9)] + [(100, "log line 12: 300.0.0.1 ok")]
+    cards = ("4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4111111111111112")
+    rows += [(200 + i, f"{n} was used") for i, n in enumerate(cards)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == "ip:13:22" and got[204] == "card:0:16"
+
+
 def test_redaction_keeps_rows_and_columns(docs, spark):
     out = pii.redact(docs)
     assert out.columns == docs.columns and counted(r[0] for r in table(out)) == counted(r[0] for r in data.rows())

@@ -2,7 +2,7 @@
 
 Base spans come from four expressions. They seed a bootstrap over the whole
 corpus: every token with a digit or an @ is an occurrence with a lexical pattern
-(the two words before it) and an instance (the identifier that starts there: a
+(the two words before it, earlier tokens by their shape) and an instance (the identifier that starts there: a
 base span, or the token with the groups of digits that follow it). Rounds of
 aggregation over the distinct pattern-instance edges score patterns by the share
 of their instances known for a kind, and instances by the patterns that accept
@@ -47,15 +47,15 @@ TOKENS = "array<struct<start:int,end:int,token:string,before:string,more:string>
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, token, before>> of all matches, by code points."""
+    """array<struct<start, end, token>> of all matches, by code points."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:int,end:int,token:string,before:string>>"
+    kind = "array<struct<start:int,end:int,token:string>>"
     first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["token"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), F.right(x["gap"], F.lit(64)).alias("before"))
+        item = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).cast(kind).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token"))
@@ -102,10 +102,30 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
+def _reduced(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), "[A-Za-z]+", "a")
+
+
 def _tokens(text: Column) -> Column:
-    """array<struct<start, end, token, before, more>>; more: the groups after it."""
-    more = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
-    return F.zip_with(_located(text, TOKEN), more, lambda t, m: t.withField("more", m)).cast(TOKENS)
+    """array<struct<start, end, token, before, more>> of all tokens.
+
+    before: the end of the text before it, after a ^ for the start of the text,
+    with earlier tokens reduced to their shapes. more: the groups after it.
+    """
+    gaps = F.split(text, TOKEN, -1)
+    found, more = (F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i)) for i in (0, 1))
+    first = F.struct(F.lit(0).alias("at"), F.lit("^ ").alias("tail"), F.array().cast(TOKENS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["token"])
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(64))
+        item = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), before.alias("before"), x["more"].alias("more"))
+        tail = F.concat(before, _reduced(x["token"]))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(item)).cast(TOKENS).alias("out"))
+
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token"), more.alias("more"))
+    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
 
 
 def _plausible(instance: Column, kind: Column) -> Column:
@@ -152,7 +172,7 @@ def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CON
     )
     seen = seen.withColumn("covered", F.exists("base", hit)).drop("base")
     # a token inside a base span that starts in an earlier token is no occurrence
-    seen = seen.where("(k IS NOT NULL OR NOT covered) AND array_join(context, '') <> ''")
+    seen = seen.where("k IS NOT NULL OR NOT covered")
     seen = common.written(seen.withColumn("pattern", F.concat_ws(" ", "context")).drop("context"), "pii-seen")
     edges = common.written(seen.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "pii-edges")
     known = edges.where("k IS NOT NULL").groupBy("instance").agg(F.min("k").alias("kind"))
