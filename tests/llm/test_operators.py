@@ -219,6 +219,20 @@ def test_a_passage_that_all_texts_share(spark, cap):
     assert counted(table(suffix_dedup.remove_repeats(df, 60, 16, cap))) == want
 
 
+def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
+    import random
+
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passages = [noise(rng.randint(70, 160)) for _ in range(12)]
+    texts = ["".join(noise(rng.randint(0, 30)) + rng.choice(passages) for _ in range(25)) for _ in range(12)]
+    texts += texts[:2]
+    want = counted((i, *x) for i, x in enumerate(plain_removal([t.encode() for t in texts], 60)))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert counted(table(suffix_dedup.remove_repeats(df, 60, 16))) == want
+
+
 def test_repeats_of_an_empty_table(spark):
     assert table(suffix_dedup.remove_repeats(data.empty(spark))) == []
 

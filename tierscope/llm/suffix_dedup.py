@@ -75,11 +75,15 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(pos, first, last, gram hash): anchors with the window starts they own."""
+def anchors(raw: bytes, length: int = LENGTH, k: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(pos, first, last, gram hash): anchors with the window starts they own.
+
+    Where a piece ends within an anchor's windows, the anchor comes once for each
+    piece, with the windows on either side.
+    """
     n_windows, w, out = len(raw) - length + 1, length - k + 1, []
-    for lo in range(0, max(n_windows, 0), PIECE):
-        data = np.frombuffer(raw, np.uint8, min(PIECE, n_windows - lo) + length - 1, lo)
+    for lo in range(0, max(n_windows, 0), piece):
+        data = np.frombuffer(raw, np.uint8, min(piece, n_windows - lo) + length - 1, lo)
         h = gram_hashes(data, k)
         at = (_window_min((h & ~_POS) | np.arange(len(h), dtype=np.uint64), w) & _POS).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
@@ -200,6 +204,7 @@ def _contexts(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFram
     again (contexts), and the bytes of those whose gram has several (pieces:
     h, cx, n, left, right)."""
     common.tune(docs.sparkSession)
+    piece = PIECE
 
     def find(batches):
         names = ["t1", "t2", "doc_id", "pos", "lo", "hi", "h", "cx"]
@@ -210,7 +215,7 @@ def _contexts(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFram
                 raw = (text or "").encode()
                 if len(raw) < length:
                     continue
-                pos, lo, hi, h = anchors(raw, length, k)
+                pos, lo, hi, h = anchors(raw, length, k, piece)
                 for x, v in zip(rows, ([t1[i]] * len(pos), [t2[i]] * len(pos), [ids[i]] * len(pos)), strict=False):
                     x.extend(v)
                 for x, v in zip(rows[3:7], (pos, lo, hi, h), strict=True):
@@ -344,9 +349,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     hit = found.join(marks, ["h", "cx"])
     starts = F.when(F.col("near").isNull(), F.array(F.col("lo"))).otherwise(F.transform("far", lambda x: F.col("pos") - x))
     ends = F.when(F.col("near").isNull(), F.array(F.col("hi") + length)).otherwise(F.transform("near", lambda x: F.col("pos") - x + length))
-    hit = hit.select("t1", "t2", "pos", F.arrays_zip(starts.alias("a"), ends.alias("z")).alias("runs"))
-    # copies of a text have the same runs: one row per text and anchor first
-    hit = hit.groupBy("t1", "t2", "pos").agg(F.first("runs").alias("runs"))
+    hit = hit.select("t1", "t2", "pos", "lo", F.arrays_zip(starts.alias("a"), ends.alias("z")).alias("runs"))
+    # copies of a text have the same runs: one row per text and anchor first (an
+    # anchor with windows in two pieces of a text has a row for either)
+    hit = hit.groupBy("t1", "t2", "pos", "lo").agg(F.first("runs").alias("runs"))
     return hit.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
