@@ -197,12 +197,54 @@ def plain_removal(texts, n):
     return out
 
 
-@pytest.mark.parametrize(("length", "gram", "cap"), [(400, 64, 8000), (60, 16, 8000), (60, 16, 3)])
-def test_repeats_equal_brute_force(docs, length, gram, cap):
+def plain_passages(docs, n):
+    """(runs, words in them) of n-word windows that another (id, text) has."""
+    words = [(t or "").encode().split() for _, t in docs]
+    seen = collections.defaultdict(set)
+    for who, w in zip(docs, words, strict=True):
+        for p in range(len(w) - n + 1):
+            seen[tuple(w[p : p + n])].add(who)
+    out = []
+    for w in words:
+        shared = [False] * len(w)
+        for p in range(len(w) - n + 1):
+            if len(seen[tuple(w[p : p + n])]) > 1:
+                shared[p : p + n] = [True] * n
+        out.append((sum(g and not (i and shared[i - 1]) for i, g in enumerate(shared)), sum(shared)))
+    return out
+
+
+@pytest.mark.parametrize(("length", "gram", "cap", "words"), [(400, 64, 8000, 51), (60, 16, 8000, 9), (60, 16, 3, 5)])
+def test_repeats_equal_brute_force(docs, length, gram, cap, words):
     rows = [r for r in data.rows() if len(r[1] or "") < 20_000]
     some = docs.where("text IS NULL OR length(text) < 20000")
-    want = counted((r[0], *x) for r, x in zip(rows, plain_removal([(r[1] or "").encode() for r in rows], length), strict=True))
-    assert counted(table(suffix_dedup.remove_repeats(some, length, gram, cap))) == want
+    cut, passages = plain_removal([(r[1] or "").encode() for r in rows], length), plain_passages([(r[0], r[1] or "") for r in rows], words)
+    assert sum(n > 0 for n, _ in passages) > 9
+    want = counted((r[0], *x, *y) for r, x, y in zip(rows, cut, passages, strict=True))
+    assert counted(table(suffix_dedup.remove_repeats(some, length, gram, cap, words))) == want
+
+
+def test_passages_of_short_words_across_line_breaks(spark):
+    import random
+
+    rng = random.Random(15)
+    stock = ["".join(rng.choices("abcdefghij", k=3)) for _ in range(900)]
+    passage = [rng.choice(stock) for _ in range(51)]
+    texts = [f"{data.words(rng, 60, stock)} {' '.join(passage)} {data.words(rng, 60, stock)}", f"{data.words(rng, 70, stock)}\n" + "\n".join(passage), " ".join(passage[:50]) + " " + data.words(rng, 30, stock)]
+    texts += [f"{' '.join(passage[1:])} {data.words(rng, 30, stock)}" * 2, " ".join([*passage[:30], "x", *passage[30:]])]
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"], r["passage_words"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1, 51), 1: (0, 1, 51), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
+
+
+def test_rows_of_a_text_that_most_rows_share(spark):
+    import random
+
+    rng = random.Random(16)
+    texts = ["hot " * 120] * 300 + [data.words(rng, 20, ["a", "b"]) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = suffix_dedup.remove_repeats(df, with_text=True).toPandas().set_index("doc_id")
+    assert len(out) == 320 and (out.kept.map(len) == out.n_bytes - out.n_removed).all()
+    assert (out.n_removed[:300] == 480).all() and (out.passage_words[:300] == 120).all() and (out.n_removed[300:] == 0).all()
 
 
 @pytest.mark.parametrize("cap", [2, 5])
@@ -216,7 +258,7 @@ def test_a_passage_that_all_texts_share(spark, cap):
     texts += [texts[0], texts[1][5:], passage * 2]
     want = counted((i, *x) for i, x in enumerate(plain_removal([t.encode() for t in texts], 60)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert counted(table(suffix_dedup.remove_repeats(df, 60, 16, cap))) == want
+    assert counted(r[:5] for r in table(suffix_dedup.remove_repeats(df, 60, 16, cap))) == want
 
 
 def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
@@ -227,10 +269,11 @@ def test_long_texts_are_hashed_in_pieces(spark, monkeypatch):
     passages = [noise(rng.randint(70, 160)) for _ in range(12)]
     texts = ["".join(noise(rng.randint(0, 30)) + rng.choice(passages) for _ in range(25)) for _ in range(12)]
     texts += texts[:2]
-    want = counted((i, *x) for i, x in enumerate(plain_removal([t.encode() for t in texts], 60)))
+    texts = [re.sub("[gh]", " ", t) for t in texts]
+    want = counted((i, *x, *y) for i, (x, y) in enumerate(zip(plain_removal([t.encode() for t in texts], 60), plain_passages(list(enumerate(texts)), 12), strict=True)))
     monkeypatch.setattr(suffix_dedup, "PIECE", 150)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert counted(table(suffix_dedup.remove_repeats(df, 60, 16))) == want
+    assert counted(table(suffix_dedup.remove_repeats(df, 60, 16, words=12))) == want
 
 
 def test_repeats_of_an_empty_table(spark):
@@ -287,6 +330,32 @@ def test_repeat_groups_hold_equal_bytes(docs):
     assert len(shared) > 3
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    """Any two places of an equal window meet in some group (brute force)."""
+    import random
+
+    rng = random.Random(17)
+    noise = lambda n: "".join(rng.choices("abcd", k=n))
+    passages = [noise(rng.randint(40, 90)) for _ in range(6)]
+    texts = [noise(rng.randint(0, 60)) + "".join(rng.choice(passages) + noise(rng.randint(0, 9)) for _ in range(3)) for _ in range(25)]
+    got = collections.defaultdict(set)
+    for g, n, doc, start in table(suffix_dedup.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 30, 8)):
+        got[g, n].add((doc, start))
+    together = {(a, b, n) for (_, n), places in got.items() for a in places for b in places if a < b}
+    windows = collections.defaultdict(list)
+    for d, t in enumerate(texts):
+        for p in range(len(t) - 29):
+            windows[t[p : p + 30]].append((d, p))
+    reach = collections.defaultdict(set)
+    for a, b, n in together:
+        for o in range(n - 29):
+            reach[a[0], a[1] + o].add((b[0], b[1] + o))
+    for places in windows.values():
+        places.sort()
+        for i, a in enumerate(places):
+            assert set(places[i + 1 :]) <= reach[a]
+
+
 def test_anchors_own_every_window_once():
     rng = np.random.default_rng(2)
     for raw in (rng.integers(97, 100, 5000, dtype=np.uint8).tobytes(), b"a" * 1500, b"ab" * 700):

@@ -6,6 +6,7 @@ Every helper here keeps its work distributed; only counters leave the executors.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,29 @@ def forget(*frames: DataFrame) -> None:
             drop_dir(df.sparkSession, path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, so that shuffle files of finished jobs
+    are deleted now and don't add up on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def join_few(df: DataFrame, few: DataFrame, keys: list[str], how: str = "left", parts: int = 1_000) -> DataFrame:
+    """``df`` joined with ``few``, which has one row a key at most; keys aren't null.
+
+    Keys that hold over 1 / ``parts`` of df's rows are fewer than ``parts``: their
+    rows of ``few`` are broadcast, so no task gets all rows of such a key. The
+    others are shuffled. df is read several times and should be written.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(100, df.count() // parts)).drop("_n")
+    hot = written(hot, "hot-keys")
+    if hot.isEmpty():
+        return df.join(few, keys, how)
+    hot_few = written(few.join(F.broadcast(hot), keys, "left_semi"), "hot-few")
+    some = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_few), keys, how)
+    return some.unionByName(df.join(F.broadcast(hot), keys, "left_anti").join(few, keys, how))
+
+
 def text_hash(col: str = "text") -> list:
     """128 bits of a text as two long columns t1 and t2; null counts as empty."""
     text = F.coalesce(F.col(col), F.lit(""))

@@ -37,8 +37,12 @@ from tierscope.llm import common
 LENGTH, GRAM = 400, 64
 #: Window starts that are hashed at once in a long text.
 PIECE = 1 << 19
+#: A passage of this many words counts as shared if another document has it, too;
+#: words in the gram that anchors it.
+WORDS, WORD_GRAM = 51, 8
 _POS = np.uint64((1 << 21) - 1)
 _TABLE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _R = 0x5851F42D4C957F2D
 _R_INV = pow(_R, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -53,18 +57,42 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit rolling hash of each k bytes."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _power(_R, n), out=sums[1:])
-    h = (sums[k:] - sums[:-k]) * _power(_R_INV, n - k + 1)
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Prefix sums of a rolling hash over 64-bit symbols."""
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum(x * _power(_R, len(x)), out=sums[1:])
+    return sums
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     return h
 
 
+def gram_hashes(x: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit rolling hash of each k symbols."""
+    sums = _sums(x)
+    return _mixed((sums[k:] - sums[:-k]) * _power(_R_INV, len(x) - k + 1))
+
+
+def word_hashes(raw: bytes, piece: int = PIECE) -> np.ndarray:
+    """A 64-bit hash of each run of bytes other than ASCII white space."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        end = min(at + piece, len(raw))
+        while end < len(raw) and not _SPACE[raw[end]]:  # words stay whole
+            end += 1
+        data = np.frombuffer(raw, np.uint8, end - at, at)
+        edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[data], True]))
+        start, stop = edge[::2], edge[1::2]
+        sums = _sums(_TABLE[data])
+        out.append(_mixed((sums[stop] - sums[start]) * _power(_R_INV, len(data) + 1)[start]))
+        at = end
+    return np.concatenate(out)
+
+
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours, by minima from the ends of blocks of w."""
     n = len(x)
@@ -75,16 +103,17 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, ...]:
-    """(pos, first, last, gram hash): anchors with the window starts they own.
+def anchors(raw: bytes | np.ndarray, length: int = LENGTH, k: int = GRAM, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """(pos, first, last, gram hash): anchors with the window starts they own, of
+    a string of bytes or of hashes of words.
 
     Where a piece ends within an anchor's windows, the anchor comes once for each
     piece, with the windows on either side.
     """
     n_windows, w, out = len(raw) - length + 1, length - k + 1, []
     for lo in range(0, max(n_windows, 0), piece):
-        data = np.frombuffer(raw, np.uint8, min(piece, n_windows - lo) + length - 1, lo)
-        h = gram_hashes(data, k)
+        n = min(piece, n_windows - lo) + length - 1
+        h = gram_hashes(_TABLE[np.frombuffer(raw, np.uint8, n, lo)] if isinstance(raw, bytes) else raw[lo : lo + n], k)
         at = (_window_min((h & ~_POS) | np.arange(len(h), dtype=np.uint64), w) & _POS).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         pos = at[cut]
@@ -132,11 +161,6 @@ def repeated_offsets(left: list[bytes], right: list[bytes], length: int = LENGTH
     m = len(left)
     runs: list[list[tuple[int, int]]] = [[] for _ in range(m)]
     back = [x[::-1] for x in left]
-    if m == 2:
-        depth, before = min(_common(*right), length), _common(*back)
-        if depth + before >= length:
-            runs[0].append((length - depth, before)), runs[1].append((length - depth, before))
-        return runs
     suffixes = sorted(range(m), key=right.__getitem__)
     lcp = np.array([0, *(min(_common(right[a], right[b]), length) for a, b in zip(suffixes, suffixes[1:], strict=False))])
     prefixes = sorted(range(m), key=back.__getitem__)
@@ -199,53 +223,70 @@ def _union(runs: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
 # ---- the distributed operator ---------------------------------------------------------
 
 
-def _contexts(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _contexts(docs: DataFrame, length: int, k: int, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Occurrences of anchors (found), their different contexts whose gram occurs
     again (contexts), and the bytes of those whose gram has several (pieces:
-    h, cx, n, left, right)."""
+    h, cx, n, left, right).
+
+    With ``words``, anchors of windows of so many words come, too (by_word); their
+    pieces have hashes of the windows (windows) in place of bytes.
+    """
     common.tune(docs.sparkSession)
-    piece = PIECE
+    piece, word_gram = PIECE, min(WORD_GRAM, words)
 
     def find(batches):
-        names = ["t1", "t2", "doc_id", "pos", "lo", "hi", "h", "cx"]
+        names = ["t1", "t2", "doc_id", "by_word", "pos", "lo", "hi", "h", "cx"]
         for b in batches:
             t1, t2, ids = (b.column(i).to_pylist() for i in range(3))
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in names]
             for i, text in enumerate(b.column(3).to_pylist()):
                 raw = (text or "").encode()
-                if len(raw) < length:
-                    continue
-                pos, lo, hi, h = anchors(raw, length, k, piece)
-                for x, v in zip(rows, ([t1[i]] * len(pos), [t2[i]] * len(pos), [ids[i]] * len(pos)), strict=False):
-                    x.extend(v)
-                for x, v in zip(rows[3:7], (pos, lo, hi, h), strict=True):
-                    x.append(v)
-                rows[7].extend(xxhash.xxh3_128_digest(raw[a : z + length], seed=p - a) for p, a, z in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True))
+                hashes = word_hashes(raw, piece) if words and len(raw) >= 2 * words - 1 else np.zeros(0, np.uint64)
+                for by_word, x, n, g in ((False, raw, length, k), (True, hashes, words, word_gram)):
+                    if not n or len(x) < n:
+                        continue
+                    pos, lo, hi, h = anchors(x, n, g, piece)
+                    for out, v in zip(rows, ([t1[i]] * len(pos), [t2[i]] * len(pos), [ids[i]] * len(pos), [by_word] * len(pos)), strict=False):
+                        out.extend(v)
+                    for out, v in zip(rows[4:8], (pos, lo, hi, h ^ 1 if by_word else h), strict=True):
+                        out.append(v)
+                    bytes_ = x.tobytes() if by_word else x
+                    size = 8 if by_word else 1
+                    rows[8].extend(xxhash.xxh3_128_digest(bytes_[a * size : (z + n) * size], seed=p - a) for p, a, z in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True))
             if rows[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), *(pa.array(np.concatenate(x).astype(np.int64)) for x in rows[3:7]), pa.array(rows[7], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in rows[4:8]), pa.array(rows[8], pa.binary())], names=names)
 
-    found = docs.select("t1", "t2", "doc_id", "text").mapInArrow(find, "t1 long, t2 long, doc_id long, pos long, lo long, hi long, h long, cx binary")
+    found = docs.select("t1", "t2", "doc_id", "text").mapInArrow(find, "t1 long, t2 long, doc_id long, by_word boolean, pos long, lo long, hi long, h long, cx binary")
     found = common.written(found, "anchors")
-    contexts = found.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "pos", "lo", "hi")).alias("at"))
+    who = F.xxhash64("doc_id", "t1", "t2")
+    contexts = found.groupBy("by_word", "h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "pos", "lo", "hi")).alias("at"), F.min(who).alias("who"), F.max(who).alias("other"))
     grams = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    contexts = common.written(contexts.join(grams, "h").select("h", "cx", "n", "kinds", "at.*"), "contexts")
+    contexts = common.written(contexts.join(grams, "h").select("by_word", "h", "cx", "n", "kinds", "who", "other", "at.*"), "contexts")
+    common.tidy(docs.sparkSession)
 
     # the bytes of one occurrence of each context whose gram has several
-    wanted = contexts.where("kinds > 1").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("h", "cx", "n", "pos", "lo", "hi")).alias("want"))
+    wanted = contexts.where("kinds > 1").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("by_word", "h", "cx", "n", "pos", "lo", "hi")).alias("want"))
     d, w = docs.select("doc_id", "t1", "t2", "text").alias("d"), wanted.alias("w")
     texts = d.join(w, [F.col("d.t1") == F.col("w.t1"), F.col("d.t2") == F.col("w.t2"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]).select("text", "want")
 
     def cut(batches):
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         for b in batches:
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in kinds]
             for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
+                hashes = word_hashes(raw, piece) if any(x["by_word"] for x in want) else None
                 for x in want:
-                    for out, v in zip(rows, (x["h"], x["cx"], x["n"], raw[x["lo"] : x["pos"]], raw[x["pos"] : x["hi"] + length]), strict=True):
+                    if x["by_word"]:
+                        part = None, None, gram_hashes(hashes[x["lo"] : x["hi"] + words], words).view(np.int64)
+                    else:
+                        part = raw[x["lo"] : x["pos"]], raw[x["pos"] : x["hi"] + length], None
+                    for out, v in zip(rows, (x["h"], x["cx"], x["n"], *part), strict=True):
                         out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["h", "cx", "n", "left", "right"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["h", "cx", "n", "left", "right", "windows"])
 
-    pieces = common.written(texts.mapInArrow(cut, "h long, cx binary, n long, left binary, right binary"), "pieces")
+    pieces = common.written(texts.mapInArrow(cut, "h long, cx binary, n long, left binary, right binary, windows array<long>"), "pieces")
+    common.tidy(docs.sparkSession)
     return found, contexts, pieces
 
 
@@ -336,24 +377,45 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
     return out.groupBy("h", "cx").agg(F.flatten(F.collect_list("near")).alias("near"), F.flatten(F.collect_list("far")).alias("far"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000) -> DataFrame:
-    """(t1, t2, spans): per different text, runs [start, end) of repeated bytes.
+def _shared_windows(contexts: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(h, cx, near, far): offsets at which a context of words has a window that
+    another document has. Windows of one gram are equal by another 64-bit hash.
+
+    Keys are aggregated before they are joined, so a window that most documents
+    have is a count in each task.
+    """
+    windows = pieces.where("windows IS NOT NULL").dropDuplicates(["h", "cx"]).join(contexts.where("by_word").select("h", "cx", "who", "other", (F.col("pos") - F.col("lo")).alias("before")), ["h", "cx"])
+    windows = common.written(windows.select("h", "cx", "who", "other", "before", F.posexplode("windows").alias("i", "key")), "windows")
+    shared = windows.groupBy("h", "key").agg(F.min("who").alias("who"), F.max("other").alias("other")).where("who <> other").select("h", "key")
+    near = F.collect_list(F.col("before") - F.col("i"))
+    return windows.join(shared, ["h", "key"], "left_semi").groupBy("h", "cx").agg(near.alias("near")).select("h", "cx", "near", F.col("near").alias("far"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000, words: int = 0) -> DataFrame:
+    """(t1, t2, spans, passages): per different text, runs [a, z) of repeated bytes,
+    and of words in windows of ``words`` words that another document has (0: none).
 
     docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
     ``cap`` different contexts are cut by offsets; see ``_marks``.
     """
-    found, contexts, pieces = _contexts(docs, length, k)
-    some = _marks(pieces, length, k, cap)
-    whole = contexts.where("n > 1").select("h", "cx", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<long>").alias("far"))
-    marks = whole.union(some)
-    hit = found.join(marks, ["h", "cx"])
+    found, contexts, pieces = _contexts(docs, length, k, words)
+    some = _marks(pieces.where("windows IS NULL").drop("windows"), length, k, cap)
+    if words:
+        some = some.union(_shared_windows(contexts, pieces))
+    none = F.lit(None).cast("array<long>")
+    whole = contexts.where("IF(by_word, who <> other, n > 1)").select("h", "cx", none.alias("near"), none.alias("far"))
+    marks = common.written(whole.union(some), "marks")
+    common.tidy(docs.sparkSession)
+    # copies of a text have the same runs: one row per text and anchor (an anchor
+    # with windows in two pieces of a text has a row for either)
+    places = found.select("by_word", "h", "cx", "t1", "t2", "pos", "lo", "hi").distinct()
+    hit = places.join(marks, ["h", "cx"])
+    span = F.when(F.col("by_word"), F.lit(words)).otherwise(F.lit(length))
     starts = F.when(F.col("near").isNull(), F.array(F.col("lo"))).otherwise(F.transform("far", lambda x: F.col("pos") - x))
-    ends = F.when(F.col("near").isNull(), F.array(F.col("hi") + length)).otherwise(F.transform("near", lambda x: F.col("pos") - x + length))
-    hit = hit.select("t1", "t2", "pos", "lo", F.arrays_zip(starts.alias("a"), ends.alias("z")).alias("runs"))
-    # copies of a text have the same runs: one row per text and anchor first (an
-    # anchor with windows in two pieces of a text has a row for either)
-    hit = hit.groupBy("t1", "t2", "pos", "lo").agg(F.first("runs").alias("runs"))
-    return hit.groupBy("t1", "t2").agg(F.flatten(F.collect_list("runs")).alias("spans"))
+    ends = F.when(F.col("near").isNull(), F.array(F.col("hi") + span)).otherwise(F.transform("near", lambda x: F.col("pos") - x + span))
+    hit = hit.select("t1", "t2", "by_word", F.arrays_zip(starts.alias("a"), ends.alias("z")).alias("runs"))
+    of = lambda by_word: F.flatten(F.collect_list(F.when(F.col("by_word") == by_word, F.col("runs"))))
+    return hit.groupBy("t1", "t2").agg(of(False).alias("spans"), of(True).alias("passages"))
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
@@ -368,6 +430,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
     found, contexts, pieces = _contexts(src, length, k)
+    pieces = pieces.drop("windows")
     blocks = common.in_blocks(pieces, ["h"], "cx", cap)
     groups = max(common.salts(docs), pieces.count() // 5_000 + 1)
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("h", "bi", "bj"), F.lit(groups)))
@@ -390,25 +453,37 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     return members.join(found, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000, with_text: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000, words: int = WORDS, with_text: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    n_passages, passage_words.
 
     A byte goes if some ``length``-byte string that covers it starts anywhere
     else in any text too. Null texts count as empty; texts under ``length``
     bytes keep everything; repeated rows count as other places and each return.
     Kept bytes can split a character; ``with_text`` adds them as ``kept``.
+
+    Passages are what a document's windows of ``words`` words cover that another
+    document (another id or text) has word for word, whatever white space parts
+    the words; windows that touch or overlap are one passage. They are reported,
+    not removed: a passage of short words can have less than ``length`` bytes.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
-    spans = repeated_spans(src, length, k, cap)
-    joined = src.join(spans, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    slim = common.written(src.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "slim")
+    spans = common.written(repeated_spans(src, length, k, cap, words), "spans")
+    # one row of each text that loses bytes or is returned
+    first = slim.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m")).select("t1", "t2", F.col("m.doc_id").alias("first"))
+    cuts = spans.select("t1", "t2", "spans", "passages") if not with_text else slim.select("t1", "t2").distinct().join(spans, ["t1", "t2"], "left")
+    wanted = cuts.join(first, ["t1", "t2"]).alias("w")
+    d = src.alias("d")
+    joined = d.join(wanted, [F.col("d.t1") == F.col("w.t1"), F.col("d.t2") == F.col("w.t2"), F.col("d.doc_id").eqNullSafe(F.col("w.first"))]).select("w.t1", "w.t2", "text", "spans", "passages")
 
     def finish(batches):
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 6 if with_text else 5]
-        types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        names = ["t1", "t2", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "kept"][: 8 if with_text else 7]
+        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             rows: list[list] = [[] for _ in names]
-            for i, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for t1, t2, text, runs, passages in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 raw = text.encode()
                 cuts = _union([(x["a"], x["z"]) for x in runs or []], gap=0)
                 kept, at = [], 0
@@ -416,8 +491,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
                     kept.append(raw[at:lo])
                     at = hi
                 left = b"".join([*kept, raw[at:]])
-                for out, v in zip(rows, (i, len(raw), len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), left), strict=False):
+                shared = _union([(x["a"], x["z"]) for x in passages or []], gap=0)
+                for out, v in zip(rows, (t1, t2, len(raw) - len(left), len(cuts), hashlib.sha256(left).hexdigest(), len(shared), sum(z - a for a, z in shared), left), strict=False):
                     out.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=False)], names=names)
 
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    kind = "t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_words long" + ", kept binary" * with_text
+    # equal rows of docs bring a text twice
+    results = common.written(joined.mapInArrow(finish, kind).dropDuplicates(["t1", "t2"]), "kept")
+    common.tidy(docs.sparkSession)
+    out = common.join_few(slim, results, ["t1", "t2"])
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), zero("n_passages"), zero("passage_words"), *["kept"] * with_text)
