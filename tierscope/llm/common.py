@@ -86,16 +86,25 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join_few(df: DataFrame, few: DataFrame, keys: list[str], how: str = "left", parts: int = 1_000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], parts: int = 1_000) -> DataFrame | None:
+    """The keys that hold over 1 / ``parts`` of df's rows, fewer than ``parts``; None
+    if there are none. df is read several times and should be written."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(100, df.count() // parts)).drop("_n")
+    hot = written(hot, "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+_LOOK = object()
+
+
+def join_few(df: DataFrame, few: DataFrame, keys: list[str], how: str = "left", hot: DataFrame | None = _LOOK) -> DataFrame:
     """``df`` joined with ``few``, which has one row a key at most; keys aren't null.
 
-    Keys that hold over 1 / ``parts`` of df's rows are fewer than ``parts``: their
-    rows of ``few`` are broadcast, so no task gets all rows of such a key. The
-    others are shuffled. df is read several times and should be written.
+    Rows of ``few`` for the hot keys of df (``hot_keys``, a bounded number) are
+    broadcast, so no task gets all rows of such a key. The others are shuffled.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(100, df.count() // parts)).drop("_n")
-    hot = written(hot, "hot-keys")
-    if hot.isEmpty():
+    hot = hot_keys(df, keys) if hot is _LOOK else hot
+    if hot is None:
         return df.join(few, keys, how)
     hot_few = written(few.join(F.broadcast(hot), keys, "left_semi"), "hot-few")
     some = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_few), keys, how)

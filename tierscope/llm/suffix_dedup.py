@@ -17,8 +17,8 @@
    nodes. Prefix plus left extension of ``length`` or more is a maximal repeat.
 4. Repeated windows per text are merged to spans and cut out.
 
-Matches never cross documents. Everything is exact but for 128-bit hashes of
-whole contexts and texts that are taken as equality.
+Matches never cross documents. Everything is exact but for equality of whole
+contexts by 64-bit hashes of theirs and of their grams, and of texts by 128 bits.
 """
 
 from __future__ import annotations
@@ -224,53 +224,66 @@ def _union(runs: list[tuple[int, int]], gap: int = 1) -> list[tuple[int, int]]:
 
 
 def _contexts(docs: DataFrame, length: int, k: int, words: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Occurrences of anchors (found), their different contexts whose gram occurs
-    again (contexts), and the bytes of those whose gram has several (pieces:
-    h, cx, n, left, right).
-
-    With ``words``, anchors of windows of so many words come, too (by_word); their
-    pieces have hashes of the windows (windows) in place of bytes.
+    """Anchors whose gram occurs again (places), their different contexts
+    (contexts), and the bytes of those whose gram has several (pieces: h, cx, n,
+    left, right).
+
+    With ``words``, anchors of windows of so many words come, too (by_word; their
+    gram hashes are odd); their pieces have hashes of the windows (windows) in
+    place of bytes. Anchors are written as one row a text; only their hashes,
+    row and place are shuffled, once to count grams and once to drop single ones.
     """
     common.tune(docs.sparkSession)
     piece, word_gram = PIECE, min(WORD_GRAM, words)
+    if max(length, words) > 0xFFFF:
+        raise ValueError("windows of up to 65535")
 
     def find(batches):
-        names = ["t1", "t2", "doc_id", "by_word", "pos", "lo", "hi", "h", "cx"]
+        parts = ("h", "cx", "place")
         for b in batches:
-            t1, t2, ids = (b.column(i).to_pylist() for i in range(3))
-            rows: list[list] = [[] for _ in names]
-            for i, text in enumerate(b.column(3).to_pylist()):
-                raw = (text or "").encode()
+            rows, ends = [[np.zeros(0, np.int64)] for _ in parts], [0]
+            for text in b.column(3).to_pylist():
+                raw, n = (text or "").encode(), 0
                 hashes = word_hashes(raw, piece) if words and len(raw) >= 2 * words - 1 else np.zeros(0, np.uint64)
-                for by_word, x, n, g in ((False, raw, length, k), (True, hashes, words, word_gram)):
-                    if not n or len(x) < n:
+                for odd, x, size, g in ((0, raw, length, k), (1, hashes, words, word_gram)):
+                    if not size or len(x) < size:
                         continue
-                    pos, lo, hi, h = anchors(x, n, g, piece)
-                    for out, v in zip(rows, ([t1[i]] * len(pos), [t2[i]] * len(pos), [ids[i]] * len(pos), [by_word] * len(pos)), strict=False):
-                        out.extend(v)
-                    for out, v in zip(rows[4:8], (pos, lo, hi, h ^ 1 if by_word else h), strict=True):
+                    pos, lo, hi, h = anchors(x, size, g, piece)
+                    bytes_, unit = (x.tobytes(), 8) if odd else (x, 1)
+                    digest = xxhash.xxh3_64_intdigest
+                    cx = np.fromiter((digest(bytes_[a * unit : (z + size) * unit], p - a) for p, a, z in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(pos))
+                    for out, v in zip(rows, (h & -2 | odd, cx.view(np.int64), pos << 32 | (pos - lo) << 16 | (hi - lo)), strict=True):
                         out.append(v)
-                    bytes_ = x.tobytes() if by_word else x
-                    size = 8 if by_word else 1
-                    rows[8].extend(xxhash.xxh3_128_digest(bytes_[a * size : (z + n) * size], seed=p - a) for p, a, z in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True))
-            if rows[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in rows[:3]), pa.array(rows[3], pa.bool_()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in rows[4:8]), pa.array(rows[8], pa.binary())], names=names)
+                    n += len(pos)
+                ends.append(ends[-1] + n)
+            struct = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in rows], names=parts)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)], names=["t1", "t2", "doc_id", "anchors"])
 
-    found = docs.select("t1", "t2", "doc_id", "text").mapInArrow(find, "t1 long, t2 long, doc_id long, by_word boolean, pos long, lo long, hi long, h long, cx binary")
+    found = docs.select("t1", "t2", "doc_id", "text").mapInArrow(find, "t1 long, t2 long, doc_id long, anchors array<struct<h:long,cx:long,place:long>>")
     found = common.written(found, "anchors")
-    who = F.xxhash64("doc_id", "t1", "t2")
-    contexts = found.groupBy("by_word", "h", "cx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "pos", "lo", "hi")).alias("at"), F.min(who).alias("who"), F.max(who).alias("other"))
-    grams = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
-    contexts = common.written(contexts.join(grams, "h").select("by_word", "h", "cx", "n", "kinds", "who", "other", "at.*"), "contexts")
+    flat = found.select("t1", "t2", "doc_id", F.explode("anchors").alias("a")).select("t1", "t2", "doc_id", "a.*")
+    grams = flat.groupBy("h").agg(F.count("*").alias("n"), (F.min("cx") != F.max("cx")).alias("several")).where("n > 1")
+    grams = common.written(grams, "grams")
+    common.tidy(docs.sparkSession)
+    total = found.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    hot = grams.where(F.col("n") > max(100, total // 1_000)).select("h")
+    places = common.join_few(flat, grams.drop("n"), ["h"], "inner", hot=None if hot.isEmpty() else hot)
+    at = F.col("place")
+    places = places.withColumns({"by_word": F.expr("h & 1 = 1"), "pos": F.shiftright(at, 32), "lo": F.shiftright(at, 32) - F.expr("shiftright(place, 16) & 65535")})
+    places = common.written(places.withColumn("hi", F.col("lo") + F.expr("place & 65535")).drop("place"), "places")
+    common.forget(found, grams)
     common.tidy(docs.sparkSession)
+    who = F.xxhash64("doc_id", "t1", "t2")
+    contexts = places.groupBy("by_word", "h", "cx", "several").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t1", "t2", "pos", "lo", "hi")).alias("at"), F.min(who).alias("who"), F.max(who).alias("other"))
+    contexts = common.written(contexts.select("by_word", "h", "cx", "n", "several", "who", "other", "at.*"), "contexts")
 
     # the bytes of one occurrence of each context whose gram has several
-    wanted = contexts.where("kinds > 1").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("by_word", "h", "cx", "n", "pos", "lo", "hi")).alias("want"))
+    wanted = contexts.where("several").groupBy("doc_id", "t1", "t2").agg(F.collect_list(F.struct("by_word", "h", "cx", "n", "pos", "lo", "hi")).alias("want"))
     d, w = docs.select("doc_id", "t1", "t2", "text").alias("d"), wanted.alias("w")
     texts = d.join(w, [F.col("d.t1") == F.col("w.t1"), F.col("d.t2") == F.col("w.t2"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]).select("text", "want")
 
     def cut(batches):
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         for b in batches:
             rows: list[list] = [[] for _ in kinds]
             for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -285,9 +298,9 @@ def _contexts(docs: DataFrame, length: int, k: int, words: int = 0) -> tuple[Dat
                         out.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=["h", "cx", "n", "left", "right", "windows"])
 
-    pieces = common.written(texts.mapInArrow(cut, "h long, cx binary, n long, left binary, right binary, windows array<long>"), "pieces")
+    pieces = common.written(texts.mapInArrow(cut, "h long, cx long, n long, left binary, right binary, windows array<long>"), "pieces")
     common.tidy(docs.sparkSession)
-    return found, contexts, pieces
+    return places, contexts, pieces
 
 
 def _bins(length: int, k: int) -> list[int]:
@@ -335,7 +348,7 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
         last = hot is None or hot.isEmpty()
         cold = now if last else now.join(hot, "g", "left_anti")
         groups = max(common.salts(pieces), now.count() // 2_000 + 1)
-        marks = cold.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("bucket").applyInPandas(scan, f"g long, c binary, {runs}")
+        marks = cold.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("bucket").applyInPandas(scan, f"g long, c long, {runs}")
         mine = marks.select(F.col("g").alias("h"), F.col("c").alias("cx"), "near", "far") if members is None else marks.join(members, ["g", "c"]).select("h", "cx", "near", "far")
         out = mine if out is None else out.unionByName(mine)
         if last:
@@ -343,7 +356,7 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
 
         def cut(batches, width=width):
             names = ["g0", "c0", "g", "c", "n", "left", "right", "lo", "hi"]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
             for b in batches:
                 rows: list[list] = [[] for _ in names]
                 for g, c, n, left, right in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
@@ -356,13 +369,14 @@ def _marks(pieces: DataFrame, length: int, k: int, cap: int) -> DataFrame:
                         part = left[max(0, len(left) - hi) :], right[: length - lo]
                         key = xxhash.xxh3_64_intdigest(core, seed=lo * 1009 + width) ^ (g & 0xFFFFFFFFFFFFFFFF)
                         key -= (key >> 63) << 64
-                        whole = xxhash.xxh3_128_digest(b"".join(part), seed=len(part[0]))
+                        whole = xxhash.xxh3_64_intdigest(b"".join(part), len(part[0]))
+                        whole -= (whole >> 63) << 64
                         for x, v in zip(rows, (g, c, key, whole, n, *part, max(lo, first), min(hi, last_)), strict=True):
                             x.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
         big = now.join(hot, "g", "left_semi").select("g", "c", "n", "left", "right").dropDuplicates(["g", "c"])
-        made = common.written(big.mapInArrow(cut, "g0 long, c0 binary, g long, c binary, n long, left binary, right binary, lo long, hi long"), "cut")
+        made = common.written(big.mapInArrow(cut, "g0 long, c0 long, g long, c long, n long, left binary, right binary, lo long, hi long"), "cut")
         if members is None:
             below = made.select("g", "c", F.col("g0").alias("h"), F.col("c0").alias("cx"))
         else:
@@ -398,7 +412,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     docs has t1, t2 (hashes of the text), doc_id and text. Grams with over
     ``cap`` different contexts are cut by offsets; see ``_marks``.
     """
-    found, contexts, pieces = _contexts(docs, length, k, words)
+    places, contexts, pieces = _contexts(docs, length, k, words)
     some = _marks(pieces.where("windows IS NULL").drop("windows"), length, k, cap)
     if words:
         some = some.union(_shared_windows(contexts, pieces))
@@ -408,8 +422,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     common.tidy(docs.sparkSession)
     # copies of a text have the same runs: one row per text and anchor (an anchor
     # with windows in two pieces of a text has a row for either)
-    places = found.select("by_word", "h", "cx", "t1", "t2", "pos", "lo", "hi").distinct()
-    hit = places.join(marks, ["h", "cx"])
+    hit = places.select("by_word", "h", "cx", "t1", "t2", "pos", "lo", "hi").distinct().join(marks, ["h", "cx"])
     span = F.when(F.col("by_word"), F.lit(words)).otherwise(F.lit(length))
     starts = F.when(F.col("near").isNull(), F.array(F.col("lo"))).otherwise(F.transform("far", lambda x: F.col("pos") - x))
     ends = F.when(F.col("near").isNull(), F.array(F.col("hi") + span)).otherwise(F.transform("near", lambda x: F.col("pos") - x + span))
@@ -429,7 +442,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
-    found, contexts, pieces = _contexts(src, length, k)
+    places, contexts, pieces = _contexts(src, length, k)
     pieces = pieces.drop("windows")
     blocks = common.in_blocks(pieces, ["h"], "cx", cap)
     groups = max(common.salts(docs), pieces.count() // 5_000 + 1)
@@ -446,11 +459,11 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int
                 out += [(key, h, cx[i], before, before + after) for i in who]
         return pd.DataFrame(out, columns=["group_id", "h", "cx", "before", "n_bytes"])
 
-    groups = blocks.groupBy("bucket").applyInPandas(scan, "group_id long, h long, cx binary, before long, n_bytes long")
+    groups = blocks.groupBy("bucket").applyInPandas(scan, "group_id long, h long, cx long, before long, n_bytes long")
     # a context that occurs again is a repeat of its own
-    whole = contexts.where("n > 1").select(F.xxhash64("cx").alias("group_id"), "h", "cx", (F.col("pos") - F.col("lo")).alias("before"), (F.col("hi") + length - F.col("lo")).alias("n_bytes"))
+    whole = contexts.where("n > 1").select(F.xxhash64("h", "cx").alias("group_id"), "h", "cx", (F.col("pos") - F.col("lo")).alias("before"), (F.col("hi") + length - F.col("lo")).alias("n_bytes"))
     members = groups.union(whole).distinct()
-    return members.join(found, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
+    return members.join(places, ["h", "cx"]).select("group_id", "n_bytes", "doc_id", (F.col("pos") - F.col("before")).alias("start")).distinct()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 1_000, words: int = WORDS, with_text: bool = False) -> DataFrame:
