@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -64,17 +64,56 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> Data
     repeats one level only.
     """
     frontier = cut(sources.select("node_id").distinct().join(nodes, "node_id", "left_semi").withColumn("hop", F.lit(0).cast("long")))
-    levels, reached, level = [frontier], frontier.select("node_id"), 0
+    reached, level = frontier, 0
     while True:
         level += 1
         step = frontier.join(edges, frontier["node_id"] == edges["src"]).select(F.col("dst").alias("node_id")).distinct()
         frontier = cut(step.join(reached, "node_id", "left_anti").withColumn("hop", F.lit(level).cast("long")))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        reached = reduce(DataFrame.union, [x.select("node_id") for x in levels])
-    found = reduce(DataFrame.union, levels)
-    return nodes.select("node_id").join(found, "node_id", "left").select("node_id", F.coalesce("hop", F.lit(level).cast("long")).alias("hop"))
+        reached = cut(reached.union(frontier))  # one table, however many levels
+    return nodes.select("node_id").join(reached, "node_id", "left").select("node_id", F.coalesce("hop", F.lit(level).cast("long")).alias("hop"))
+
+
+def robust_prune(base: DataFrame, candidates: DataFrame, degree: int, alpha: float = 1.2) -> DataFrame:
+    """(src, pos, dst): of each node's candidates (src, dst), nearest first, those
+    that no candidate taken before is ``alpha`` times nearer to; at most ``degree``.
+
+    The published pruning rule of proximity graphs, by squared distances: with
+    alpha² the rule on distances. Candidate lists have a bounded length.
+    """
+    vec = base.select("node_id", "vec")
+    rows = candidates.where("src <> dst").select("src", "dst").distinct()
+    rows = rows.join(vec.withColumnRenamed("node_id", "dst"), "dst")
+    lists = rows.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "vec"))).alias("near"))
+    lists = lists.join(vec.select(F.col("node_id").alias("src"), "vec"), "src")
+
+    def prune(batches):
+        for pdf in batches:
+            out: list[tuple[int, int, int]] = []
+            for src, near, own in zip(pdf["src"], pdf["near"], pdf["vec"], strict=True):
+                ids = np.array([x["dst"] for x in near], np.int64)
+                v, p = np.array([x["vec"] for x in near], np.float64), np.array(own, np.float64)
+                d = ((v - p) ** 2).sum(1)
+                left, taken = np.lexsort((ids, d)), []
+                while len(left) and len(taken) < degree:
+                    best, left = left[0], left[1:]
+                    taken.append(best)
+                    left = left[alpha * alpha * ((v[left] - v[best]) ** 2).sum(1) > d[left]]
+                out += [(src, i, int(ids[k])) for i, k in enumerate(taken)]
+            yield pd.DataFrame(out, columns=["src", "pos", "dst"])
+
+    return lists.mapInPandas(prune, "src long, pos long, dst long")
+
+
+def pruned_graph(base: DataFrame, edges: DataFrame, degree: int, alpha: float = 1.2) -> DataFrame:
+    """A navigable graph from neighbour lists: candidates are a node's neighbours,
+    their neighbours, and those that list it; pruned twice, as lists of nodes that
+    many others list are pruned again after the reverse edges come in."""
+    two = edges.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+    one = cut(robust_prune(base, edges.select("src", "dst").union(two), degree, alpha))
+    both = one.select("src", "dst").union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return robust_prune(base, both, degree, alpha)
 
 
 def neighbor_closure(groupings: DataFrame, edges: DataFrame) -> DataFrame:

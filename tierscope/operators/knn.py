@@ -10,8 +10,8 @@ from pyspark.sql.window import Window as W
 
 from tierscope.functions import vectors as V
 
-#: Queries that go to the executors at once.
-QUERY_BLOCK = 4_000
+#: Queries that go to the executors at once; rows of the base in a block.
+QUERY_BLOCK, BASE_BLOCK = 4_000, 50_000
 
 
 def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), dist: str = "dist") -> DataFrame:
@@ -22,52 +22,79 @@ def top_k(scored: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), dist
 
 
 def knn_sql(base: DataFrame, queries: DataFrame, k: int, dims: int | None = None, expanded: bool = False) -> DataFrame:
-    """Every pair as an expression, for query sets of a few rows."""
-    pairs = base.crossJoin(F.broadcast(queries.limit(QUERY_BLOCK)) if queries.count() <= QUERY_BLOCK else queries)
+    """Every pair as an expression, for query sets of at most QUERY_BLOCK rows."""
+    if (n := queries.count()) > QUERY_BLOCK:
+        raise ValueError(f"{n} queries: use the blocked strategy")
+    pairs = base.crossJoin(F.broadcast(queries.limit(QUERY_BLOCK)))
     dist = V.l2_expanded(F.col("qvec"), F.col("vec")) if expanded else V.l2_sq(F.col("qvec"), F.col("vec"), dims)
     return top_k(pairs.select("query_id", "node_id", dist.alias("dist")), k)
 
 
-def knn_blocked(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+class _Best:
+    """The k nearest of all base vectors seen so far, for a block of queries."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.node, self.dist = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+
+    def add(self, nodes: np.ndarray, v: np.ndarray) -> None:
+        d = np.empty((len(self.q), len(v)))
+        for lo in range(0, len(self.q), 64):
+            diff = self.q[lo : lo + 64, None, :] - v[None, :, :]
+            d[lo : lo + 64] = np.einsum("qvd,qvd->qv", diff, diff)
+        dist, node = np.concatenate([self.dist, d], 1), np.concatenate([self.node, np.broadcast_to(nodes, d.shape)], 1)
+        order = np.lexsort((node, dist), axis=1)[:, : self.k]
+        self.dist, self.node = np.take_along_axis(dist, order, 1), np.take_along_axis(node, order, 1)
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": np.repeat(self.ids, self.node.shape[1]), "node_id": self.node.ravel(), "dist": self.dist.ravel()})
+
+
+_NEAR = "query_id long, node_id long, dist double"
+
+
+def knn_blocked(base: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK) -> DataFrame:
     """Blocks of queries against Arrow batches of the base.
 
-    Each task keeps its k best per query and sends only those; the queries are
-    taken ``block`` at a time, so what is broadcast has a fixed size however
-    many queries there are.
+    Each task keeps its k best per query and sends only those. Up to ``block``
+    queries are broadcast. More are cut into blocks, as is the base, and each
+    pair of blocks is a group of its own in the executors: nothing passes through
+    the driver, and a group has a bounded size however many rows there are.
     """
-    spark, out = base.sparkSession, None
+    spark = base.sparkSession
     total = queries.count()
-    n_blocks = max(1, -(-total // block))
-    numbered = queries.select("query_id", "qvec")
-    for b in range(n_blocks):
-        mine = numbered if n_blocks == 1 else numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        rows = mine.collect()  # about ``block`` query vectors
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches, shared=shared):
-            ids, q = shared.value
-            best_i, best_d = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                v = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-                d = np.empty((len(q), len(v)))
-                for lo in range(0, len(q), 64):
-                    diff = q[lo : lo + 64, None, :] - v[None, :, :]
-                    d[lo : lo + 64] = np.einsum("qvd,qvd->qv", diff, diff)
-                node = np.broadcast_to(pdf["node_id"].to_numpy(), d.shape)
-                best_d, best_i = np.concatenate([best_d, d], 1), np.concatenate([best_i, node], 1)
-                order = np.lexsort((best_i, best_d), axis=1)[:, :k]
-                best_d, best_i = np.take_along_axis(best_d, order, 1), np.take_along_axis(best_i, order, 1)
-            if best_i.shape[1]:
-                yield pd.DataFrame({"query_id": np.repeat(ids, best_i.shape[1]), "node_id": best_i.ravel(), "dist": best_d.ravel()})
-
-        part = top_k(base.select("node_id", "vec").mapInPandas(search, "query_id long, node_id long, dist double"), k)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id long, node_id long, dist double, rank long")
+    if total > block:
+        n, m = -(-total // block), max(1, -(-base.count() // base_block))
+        cell = lambda key, parts, other: [F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))]
+        mine, everywhere = cell("query_id", n, m)
+        q = queries.select("query_id", "qvec", mine.alias("i"), everywhere.alias("j"))
+        mine, everywhere = cell("node_id", m, n)
+        b = base.select("node_id", "vec", mine.alias("j"), everywhere.alias("i"))
+
+        def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if not len(left) or not len(right):
+                return pd.DataFrame({"query_id": np.zeros(0, np.int64), "node_id": np.zeros(0, np.int64), "dist": np.zeros(0)})
+            best = _Best(left["query_id"].to_numpy(), np.stack(left["qvec"].to_numpy()).astype(np.float64), k)
+            for lo in range(0, len(right), 2_000):
+                part = right.iloc[lo : lo + 2_000]
+                best.add(part["node_id"].to_numpy(), np.stack(part["vec"].to_numpy()).astype(np.float64))
+            return best.rows()
+
+        return top_k(q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(pair, _NEAR), k)
+    rows = queries.select("query_id", "qvec").collect()  # at most ``block`` query vectors
+    if not rows:
+        return spark.createDataFrame([], f"{_NEAR}, rank long")
+    shared = spark.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+
+    def search(batches):
+        best = _Best(*shared.value, k)
+        for pdf in batches:
+            if len(pdf):
+                best.add(pdf["node_id"].to_numpy(), np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+        if best.node.shape[1]:
+            yield best.rows()
+
+    return top_k(base.select("node_id", "vec").mapInPandas(search, _NEAR), k)
 
 
 def exact_knn(base: DataFrame, queries: DataFrame, k: int, strategy: str = "blocked", dims: int | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,6 +30,52 @@ def codebook(base: DataFrame, dims: int, chunks: int = CHUNKS, centroids: int =
     return moved.select("centroid", F.posexplode(parts).alias("chunk", "sub")).select(F.col("chunk").cast("long").alias("chunk"), F.col("centroid").cast("long").alias("centroid"), "sub")
 
 
+def trained(base: DataFrame, dims: int, chunks: int = CHUNKS, centroids: int = 256, rounds: int = 8, seed: int = 11) -> DataFrame:
+    """(chunk, centroid, sub) by k-means in every chunk at once, from ``codebook``.
+
+    A round is one pass: tasks add up their vectors by nearest centroid (the
+    smaller of equally near ones) in Arrow batches, and only chunks x centroids
+    sums leave them. Centroids without vectors stay. The codebook, of a fixed
+    size, is all that passes through the driver. Means are rounded to 6 digits.
+    """
+    step, spark = dims // chunks, base.sparkSession
+    middle = np.array(center(base, dims).first()["center"])
+    book = np.zeros((chunks, centroids, step))
+    used = np.zeros((chunks, centroids), bool)
+    for r in codebook(base, dims, chunks, centroids, seed).collect():  # chunks x centroids rows
+        book[r["chunk"], r["centroid"]], used[r["chunk"], r["centroid"]] = r["sub"], True
+    book[~used] = np.inf  # fewer vectors than centroids
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((book, middle))
+
+        def add(batches, shared=shared):
+            book, middle = shared.value
+            sums, n = np.zeros((chunks, centroids, step)), np.zeros((chunks, centroids), np.int64)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                v = (np.stack(pdf["vec"].to_numpy()).astype(np.float64) - middle).reshape(len(pdf), chunks, step)
+                for c in range(chunks):
+                    d = ((v[:, c, None, :] - book[None, c]) ** 2).sum(2)
+                    near = np.where(np.isnan(d), np.inf, d).argmin(1)
+                    np.add.at(sums[c], near, v[:, c])
+                    n[c] += np.bincount(near, minlength=centroids)
+            at = np.argwhere(n)
+            yield pd.DataFrame({"chunk": at[:, 0], "centroid": at[:, 1], "n": n[n > 0], "sub": [sums[c, j].tolist() for c, j in at]})
+
+        parts = base.select("vec").mapInPandas(add, "chunk long, centroid long, n long, sub array<double>")
+        mean = F.array(*[F.round(F.sum(F.col("sub")[i]) / F.sum("n"), 6) for i in range(step)])
+        moved = book.copy()
+        for r in parts.groupBy("chunk", "centroid").agg(mean.alias("sub")).collect():  # chunks x centroids rows
+            moved[r["chunk"], r["centroid"]] = r["sub"]
+        shared.destroy()
+        if np.array_equal(moved, book):
+            break
+        book = moved
+    rows = [(c, j, book[c, j].tolist()) for c, j in np.argwhere(used).tolist()]
+    return spark.createDataFrame(rows, "chunk long, centroid long, sub array<double>")
+
+
 def encode(base: DataFrame, book: DataFrame, dims: int, chunks: int = CHUNKS) -> DataFrame:
     """(node_id, chunk, code): the nearest centroid of each chunk."""
     step = dims // chunks

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tierscope.plans.session import global_rank, global_totals
+
 
 def windowed_quality(log: DataFrame, width: str = "1 second", factor: float = 10.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per window of ``ts``: mean recall, P99 latency, count.
@@ -49,13 +51,21 @@ def greedy_plan(units: DataFrame, rate: float) -> DataFrame:
     stage = F.element_at(F.create_map(F.lit("CODES"), F.lit(0), F.lit("ADJ"), F.lit(1), F.lit("VEC"), F.lit(2)), F.col("tier"))
     so_far = W.partitionBy("group_id").orderBy("stage").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = units.withColumns({"stage": stage, "density": F.col("gain") / F.col("bytes")}).withColumn("key", F.min("density").over(so_far))
-    order = W.orderBy(F.col("key").desc(), "group_id", "stage")  # a plan has one row per group and tier
-    rows = rows.withColumns({"pos": (F.row_number().over(order) - 1).cast("long"), "done": F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    rows = global_totals(rows, [F.col("key").desc(), F.col("group_id"), F.col("stage")], {"done": F.col("bytes")}, "pos")
     return rows.select("pos", "group_id", "tier", "bytes", "gain", (F.col("done") / rate).alias("at"))
 
 
+def buckets(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
+    """``ntile`` over the whole table, by global ranks."""
+    ranked = global_rank(df, order, "_rank")
+    size, more = divmod(df.count(), n)
+    edge = more * (size + 1)  # the first buckets have a row more
+    late = F.floor((F.col("_rank") - edge) / max(1, size)) + more
+    return ranked.withColumn(name, (F.when(F.col("_rank") < edge, F.floor(F.col("_rank") / (size + 1))).otherwise(late) + 1).cast("int")).drop("_rank")
+
+
 def gain_deciles(units: DataFrame, n: int = 10) -> DataFrame:
-    rows = units.withColumn("decile", F.ntile(n).over(W.orderBy(F.col("gain").desc(), "group_id", "tier")))
+    rows = buckets(units, [F.col("gain").desc(), F.col("group_id"), F.col("tier")], n, "decile")
     return rows.groupBy("decile").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.avg("gain").alias("mean_gain"))
 
 
@@ -102,7 +112,7 @@ def simulate(plan: DataFrame, curve: DataFrame, ticks: DataFrame) -> DataFrame:
 
 def calibration(rows: DataFrame, n: int = 10) -> DataFrame:
     """Mean predicted minus mean actual recall by bucket of the prediction."""
-    b = rows.withColumn("bucket", F.ntile(n).over(W.orderBy("predicted", "query_id")))
+    b = buckets(rows, [F.col("predicted"), F.col("query_id")], n, "bucket")
     return b.groupBy("bucket").agg(F.avg("predicted").alias("predicted"), F.avg("actual").alias("actual"), (F.avg("predicted") - F.avg("actual")).alias("error"))
 
 

@@ -28,7 +28,7 @@ def _md5(seed: int, column: str) -> str:
 
 CTE: dict[str, str] = {
     "emb": "SELECT vec_id, embedding::DOUBLE[] AS vec, label FROM embeddings",
-    "picked": f"SELECT vec_id FROM emb ORDER BY {_md5(7, 'vec_id')} LIMIT {C.N_QUERIES}",
+    "picked": f"SELECT vec_id FROM emb ORDER BY {_md5(7, 'vec_id')} LIMIT (SELECT greatest({C.N_QUERIES}, count(*) // 40) FROM emb)",
     "base": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node_id, vec, label, vec_id FROM emb WHERE vec_id NOT IN (SELECT vec_id FROM picked)",
     "q": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query_id, vec AS qvec, vec_id FROM emb WHERE vec_id IN (SELECT vec_id FROM picked)",
     "exact": f"SELECT query_id, node_id, {l2('qvec', 'vec')} AS dist FROM q, base",
@@ -186,11 +186,10 @@ def _beams() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    cut = round(C.N_QUERIES * 0.5)
     overlap = "SELECT query_id, count(*) AS n FROM truth JOIN adc_k USING (query_id, node_id) GROUP BY 1"
     out = {
         "heldout_split": "SELECT vec_id, false AS is_query, node_id AS new_id FROM base UNION ALL SELECT vec_id, true, query_id FROM q",
-        "workload_eval_split": f"SELECT query_id, pos, pos < {cut} AS workload FROM (SELECT query_id, row_number() OVER (ORDER BY {_md5(1234, 'query_id')}) - 1 AS pos FROM q)",
+        "workload_eval_split": f"SELECT query_id, pos, pos < (SELECT round_even(count(*) * 0.5, 0) FROM q) AS workload FROM (SELECT query_id, row_number() OVER (ORDER BY {_md5(1234, 'query_id')}) - 1 AS pos FROM q)",
         "l2_entry_distance": f"SELECT query_id, node_id AS entry, round(d, 6) AS entry_dist FROM (SELECT query_id, node_id, {l2('qvec', 'vec')} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {l2('qvec', 'vec')}, ord) AS r FROM q, label_med) WHERE r = 1",
         "exact_knn_top10": "SELECT query_id, node_id, round(dist, 6) AS dist, rank FROM truth",
         "exact_knn_expanded_form": "SELECT query_id, rank, node_id FROM wide_k",
@@ -199,8 +198,8 @@ def oracle_sql() -> dict[str, str]:
         "medoid": "SELECT node_id, round(dist, 6) AS dist FROM med",
         "entry_points_by_label": "SELECT ord::BIGINT AS ord, node_id FROM label_med",
         "degrees": "SELECT node_id, degree FROM deg",
-        "neighbors_of_ids": "SELECT src, pos, dst FROM edges WHERE src % 7 = 0",
-        "point_lookup_vectors": "SELECT node_id, round(vec[1], 6) AS x0, round(vec[64], 6) AS x63 FROM base WHERE node_id IN (3, 11, 200)",
+        "neighbors_of_ids": "SELECT src, pos, dst FROM edges WHERE src IN (SELECT node_id FROM truth)",
+        "point_lookup_vectors": "SELECT node_id, round(vec[1], 6) AS x0, round(vec[64], 6) AS x63 FROM base WHERE node_id IN (SELECT node_id FROM truth)",
         "pq_codes": "SELECT node_id, chunk, code FROM codes",
         "pq_decode_error": f"SELECT node_id, round(sqrt({l2('decoded', 'vec')}) / greatest(sqrt({_dot('vec', 'vec')}), 1e-6), 6) AS rel_err FROM (SELECT node_id, list_transform(list_zip(flatten(list(sub ORDER BY c.chunk)), any_value(center)), lambda x: x[1] + x[2]) AS decoded FROM codes c JOIN book b ON c.chunk = b.chunk AND c.code = b.centroid JOIN mid ON true GROUP BY 1) JOIN base USING (node_id)",
         "adc_table": "SELECT query_id, chunk, centroid, round(d, 6) AS d FROM adc",

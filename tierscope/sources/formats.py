@@ -11,9 +11,9 @@ sections) before 256 centroids, center and chunk offsets.
 
 from __future__ import annotations
 
-import os
+import heapq
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from tierscope.sources import files
+
 SECTOR = 4096
 TYPES = {"f4": "<f4", "u1": "u1", "u4": "<u4", "u8": "<u8", "i4": "<i4"}
 #: Rows of a matrix per partition of a scan.
@@ -29,9 +31,7 @@ ROWS = 250_000
 
 def header(path: str, offset: int = 0) -> tuple[int, int]:
     """Rows and columns at ``offset``."""
-    with open(path, "rb") as f:
-        f.seek(offset)
-        raw = f.read(8)
+    raw = files.read(path, offset, 8)
     if len(raw) < 8:
         raise ValueError(f"{path}: no header at {offset}")
     return struct.unpack("<ii", raw)
@@ -42,15 +42,20 @@ def section(path: str, dtype: str, offset: int = 0, lo: int = 0, hi: int | None
     rows, cols = header(path, offset)
     kind = np.dtype(TYPES[dtype])
     need = offset + 8 + rows * cols * kind.itemsize
-    if os.path.getsize(path) < need:
-        raise ValueError(f"{path}: {need} bytes needed, file has {os.path.getsize(path)}")
+    if (have := files.size(path) or 0) < need:
+        raise ValueError(f"{path}: {need} bytes needed, file has {have}")
     hi = rows if hi is None else hi
-    return np.fromfile(path, kind, (hi - lo) * cols, offset=offset + 8 + lo * cols * kind.itemsize).reshape(hi - lo, cols)
+    width = cols * kind.itemsize
+    return np.frombuffer(files.read(path, offset + 8 + lo * width, (hi - lo) * width), kind).reshape(hi - lo, cols)
+
 
+def packed(x: np.ndarray, dtype: str) -> bytes:
+    """A section as it is in a file: rows, columns, values."""
+    return struct.pack("<ii", *x.shape) + np.ascontiguousarray(x, TYPES[dtype]).tobytes()
 
-def write_section(path: str, x: np.ndarray, dtype: str = "f4", mode: str = "wb") -> None:
-    with open(path, mode) as f:
-        f.write(struct.pack("<ii", *x.shape) + np.ascontiguousarray(x, TYPES[dtype]).tobytes())
+
+def write_section(path: str, x: np.ndarray, dtype: str = "f4") -> None:
+    files.write(path, [packed(x, dtype)])
 
 
 @dataclass(frozen=True)
@@ -92,30 +97,38 @@ def node_offset(meta: IndexMeta, node: int) -> int:
 def read_nodes(path: str, meta: IndexMeta, dtype: str, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors, degrees and slots of nodes lo..hi; padding never leaves here."""
     first, last = lo // meta.per_sector, (hi - 1) // meta.per_sector
-    raw = np.fromfile(path, np.uint8, (last - first + 1) * SECTOR, offset=(first + 1) * SECTOR).reshape(-1, SECTOR)
+    raw = np.frombuffer(files.read(path, (first + 1) * SECTOR, (last - first + 1) * SECTOR), np.uint8).reshape(-1, SECTOR)
     records = raw[:, : meta.per_sector * meta.node_bytes].reshape(-1, meta.node_bytes)[lo - first * meta.per_sector : hi - first * meta.per_sector]
     width = meta.ndims * np.dtype(TYPES[dtype]).itemsize
     cell = lambda a, b, t: np.ascontiguousarray(records[:, a:b]).view(t)
     return cell(0, width, TYPES[dtype]), cell(width, width + 4, "<u4")[:, 0], cell(width + 4, meta.node_bytes, "<u4")
 
 
-def write_index(path: str, vectors: np.ndarray, nbrs: list[list[int]], slots: int, medoid: int, dtype: str = "f4") -> None:
-    """An index file of the layout above, for round trips."""
-    n, d = vectors.shape
+def write_index_rows(path: str, rows: Iterable[tuple], n: int, d: int, slots: int, medoid: int, dtype: str = "f4") -> None:
+    """An index file from (vector, neighbours) in order of node, a sector at a time."""
     size = d * np.dtype(TYPES[dtype]).itemsize + 4 + 4 * slots
     per = SECTOR // size
     if per < 1:
         raise ValueError("a node record is larger than a sector")
-    sectors = -(-n // per)
-    meta = np.array([n, d, medoid, size, per, 0, 0, 0, (sectors + 1) * SECTOR], "<u8")
-    first = struct.pack("<ii", 9, 1) + meta.tobytes()
-    body = np.zeros((sectors, SECTOR), np.uint8)
-    for i in range(n):
-        rec = np.ascontiguousarray(vectors[i], TYPES[dtype]).tobytes() + struct.pack("<I", len(nbrs[i])) + np.array(nbrs[i], "<u4").tobytes()
-        at = (i % per) * size
-        body[i // per, at : at + len(rec)] = np.frombuffer(rec, np.uint8)
-    with open(path, "wb") as f:
-        f.write(first.ljust(SECTOR, b"\0") + body.tobytes())
+    meta = np.array([n, d, medoid, size, per, 0, 0, 0, (-(-n // per) + 1) * SECTOR], "<u8")
+
+    def body() -> Iterator[bytes]:
+        yield (struct.pack("<ii", 9, 1) + meta.tobytes()).ljust(SECTOR, b"\0")
+        sector = b""
+        for i, (vector, nbrs) in enumerate(rows):
+            record = np.ascontiguousarray(vector, TYPES[dtype]).tobytes() + struct.pack("<I", len(nbrs)) + np.array(nbrs, "<u4").tobytes()
+            sector += record.ljust(size, b"\0")
+            if i % per == per - 1:
+                yield sector.ljust(SECTOR, b"\0")
+                sector = b""
+        if sector:
+            yield sector.ljust(SECTOR, b"\0")
+
+    files.write(path, body())
+
+
+def write_index(path: str, vectors: np.ndarray, nbrs: list[list[int]], slots: int, medoid: int, dtype: str = "f4") -> None:
+    write_index_rows(path, zip(vectors, nbrs, strict=True), *vectors.shape, slots, medoid, dtype)
 
 
 def read_pivots(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,17 +149,14 @@ def write_pivots(path: str, centroids: np.ndarray, middle: np.ndarray, chunks: n
     for x, _ in parts:
         offsets.append(at)
         at += 8 + x.shape[0] * x.shape[1] * 4
-    write_section(path, np.array([*offsets, at], "<u8")[:, None], "u8")
-    with open(path, "ab") as f:
-        f.write(bytes(SECTOR - f.tell()))
-    for x, t in parts:
-        write_section(path, x, t, "ab")
+    table = packed(np.array([*offsets, at], "<u8")[:, None], "u8")
+    files.write(path, [table.ljust(SECTOR, b"\0"), *(packed(x, t) for x, t in parts)])
 
 
 def entry_points(index_path: str, dtype: str) -> tuple[list[int], np.ndarray]:
     """Ids and vectors: the medoid files if both are there, else the medoid."""
     ids, vectors = f"{index_path}_medoids.bin", f"{index_path}_centroids.bin"
-    if os.path.exists(ids) and os.path.exists(vectors):
+    if files.size(ids) is not None and files.size(vectors) is not None:
         i, v = section(ids, "u4")[:, 0], section(vectors, "f4")
         if len(i) != len(v):
             raise ValueError(f"{len(i)} medoids and {len(v)} centroids")
@@ -181,8 +191,24 @@ class MatrixReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(x))), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["row_id", "values"])
 
 
+@dataclass
+class Part(WriterCommitMessage):
+    """A task's rows in order of their ids, in a file beside the target."""
+
+    path: str
+    rows: int
+    cols: int
+
+
 class MatrixWriter(DataSourceWriter):
-    """Rows (row_id, values) as one matrix file: parts first, joined on commit."""
+    """Rows (row_id, values) as one matrix file, in order of row_id.
+
+    Every task attempt writes a file of its own beside the target, in the same
+    store; the driver joins those that the messages name, a chunk of each at a
+    time, so leftovers of failed attempts don't count and its memory is bounded.
+    """
+
+    CHUNK = 4_096
 
     def __init__(self, options: dict):
         self.path, self.dtype = options["path"], options.get("dtype", "f4")
@@ -191,26 +217,39 @@ class MatrixWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         data = sorted((r[0], list(r[1])) for r in rows)
-        name = f"{self.path}.part-{TaskContext.get().partitionId():06d}"
-        x = np.array([v for _, v in data], TYPES[self.dtype]).reshape(len(data), -1) if data else np.zeros((0, 0))
-        np.savez(name + ".npz", ids=np.array([i for i, _ in data], np.int64), x=x)
-        return WriterCommitMessage()
+        context = TaskContext.get()
+        name = f"{self.path}.part-{context.partitionId():06d}-{context.taskAttemptId()}"
+        x = np.array([v for _, v in data], TYPES[self.dtype]).reshape(len(data), -1) if data else np.zeros((0, 0), TYPES[self.dtype])
+        ids = np.array([i for i, _ in data], "<i8").reshape(-1, 1)
+        if data:
+            files.write(name, [np.concatenate([ids.view(np.uint8), x.view(np.uint8)], 1).tobytes()])
+        return Part(name, *x.shape)
+
+    def _rows(self, part: Part) -> Iterator[tuple[int, bytes]]:
+        width = 8 + part.cols * np.dtype(TYPES[self.dtype]).itemsize
+        for lo in range(0, part.rows, self.CHUNK):
+            raw = files.read(part.path, lo * width, min(self.CHUNK, part.rows - lo) * width)
+            for at in range(0, len(raw), width):
+                yield int.from_bytes(raw[at : at + 8], "little", signed=True), raw[at + 8 : at + width]
 
     def commit(self, messages: list) -> None:
-        import glob
+        parts = [m for m in messages if m is not None and m.rows]
+        if len({m.cols for m in parts}) > 1:
+            self.abort(messages)
+            raise ValueError(f"{self.path}: rows of different lengths")
+
+        def body() -> Iterator[bytes]:
+            yield struct.pack("<ii", sum(m.rows for m in parts), parts[0].cols if parts else 0)
+            for _, raw in heapq.merge(*map(self._rows, parts), key=lambda r: r[0]):
+                yield raw
 
-        parts = [np.load(p) for p in sorted(glob.glob(f"{self.path}.part-*.npz"))]
-        parts = [(p["ids"], p["x"]) for p in parts if len(p["ids"])]
-        ids = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int64)
-        x = np.concatenate([v for _, v in parts]) if parts else np.zeros((0, 0))
-        write_section(self.path, x[np.argsort(ids, kind="stable")], self.dtype)
+        files.write(self.path, body())
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        import glob
-
-        for p in glob.glob(f"{self.path}.part-*.npz"):
-            os.remove(p)
+        for m in messages:
+            if m is not None:
+                files.delete(m.path)
 
 
 class MatrixSource(DataSource):
@@ -293,24 +332,49 @@ def read_pivots_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     return spark.createDataFrame(rows, "chunk long, centroid long, sub array<double>"), spark.createDataFrame([(middle.astype(float).tolist(),)], "center array<double>")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, rank, node_id, dist of a truth file."""
+def read_truth(spark: SparkSession, path: str, rows: int = ROWS) -> DataFrame:
+    """query_id, rank, node_id, dist of a truth file, by ranges of queries."""
     n, k = header(path)
-    ids = np.fromfile(path, "<i4", n * k, offset=8).reshape(n, k)
-    dist = np.fromfile(path, "<f4", n * k, offset=8 + 4 * n * k).reshape(n, k)
-    rows = [(q, r, int(ids[q, r]), float(dist[q, r])) for q in range(n) for r in range(k)]
-    return spark.createDataFrame(rows, "query_id long, rank long, node_id long, dist double")
+    if (files.size(path) or 0) < 8 + 8 * n * k:
+        raise ValueError(f"{path}: {8 + 8 * n * k} bytes needed, file has {files.size(path)}")
+    starts = spark.createDataFrame([(lo,) for lo in range(0, n, rows)], "lo long")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in b.column(0).to_pylist():
+                m = min(rows, n - lo) * k
+                ids = np.frombuffer(files.read(path, 8 + 4 * lo * k, 4 * m), "<i4")
+                dist = np.frombuffer(files.read(path, 8 + 4 * n * k + 4 * lo * k, 4 * m), "<f4")
+                at = np.arange(m)
+                yield pa.RecordBatch.from_arrays([pa.array(lo + at // k), pa.array(at % k), pa.array(ids.astype(np.int64)), pa.array(dist.astype(np.float64))], names=["query_id", "rank", "node_id", "dist"])
+
+    return starts.repartition(max(1, -(-n // rows))).mapInArrow(run, "query_id long, rank long, node_id long, dist double")
 
 
 def write_truth(truth: DataFrame, path: str) -> None:
-    """A truth file from (query_id, rank, node_id, dist); k ids a query."""
+    """A truth file from (query_id, rank, node_id, dist); k ids a query.
+
+    Executors write ids and distances as matrix files beside it, and the driver
+    copies them into one, a chunk at a time.
+    """
     from pyspark.sql import functions as F
 
-    rows = truth.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "dist"))).alias("x")).orderBy("query_id").toLocalIterator()
-    lists = [(r["x"]) for r in rows]
-    ids, dist = np.array([[y["node_id"] for y in x] for x in lists], "<i4"), np.array([[y["dist"] for y in x] for x in lists], "<f4")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<ii", *ids.shape) + ids.tobytes() + dist.tobytes())
+    lists = truth.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "dist"))).alias("x"))
+    register(truth.sparkSession)
+    sides = [(f"{path}.ids", "i4", F.col("x.node_id")), (f"{path}.dists", "f4", F.col("x.dist"))]
+    for name, dtype, values in sides:
+        lists.select(F.col("query_id").alias("row_id"), values.cast("array<double>").alias("values")).write.format("matrixfile").mode("append").option("dtype", dtype).save(name)
+
+    def body() -> Iterator[bytes]:
+        yield files.read(sides[0][0], 0, 8)
+        for name, _, _ in sides:
+            total = files.size(name) or 0
+            for at in range(8, total, 1 << 24):
+                yield files.read(name, at, min(1 << 24, total - at))
+
+    files.write(path, body())
+    for name, _, _ in sides:
+        files.delete(name)
 
 
 def read_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
@@ -319,6 +383,20 @@ def read_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(folder)
 
 
+#: What a curve file holds.
+CURVE = "order string, bytes_total double, mean_recall double, normalized_recall double"
+
+
 def write_curve(curve: DataFrame, path: str) -> None:
     """A curve as one CSV file with a header; curves have a row per fraction."""
     curve.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_curve(spark: SparkSession, path: str, schema: str = CURVE) -> DataFrame:
+    """Curves with the given columns; a file with another header is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A validation report (one row) as one JSON record."""
+    report.coalesce(1).write.mode("overwrite").json(path)

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tierscope.plans.session import global_totals
+
 
 def windowed(log: DataFrame, p99: float, width: str = "1 second", late: str = "10 seconds", factor: float = 10.0) -> DataFrame:
     """Per window: mean recall, P99 (approximate), count; late rows are dropped
@@ -23,6 +25,16 @@ def arrivals(spark, per_second: int, seed: int = 3) -> DataFrame:
     return rate.select(F.col("value").alias("query_id"), (F.col("timestamp").cast("double") + jitter).cast("timestamp").alias("ts"))
 
 
+def arrivals_batch(n: int, per_second: float, spark, seed: int = 3) -> DataFrame:
+    """(query_id, at): the same arrivals computed ahead, seconds from the start.
+
+    Gaps are exponential in a uniform number from a hash of the seed and the id, so
+    a replay has the same arrivals, on any number of executors."""
+    ids = spark.range(n).withColumnRenamed("id", "query_id")
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+    return global_totals(ids, [F.col("query_id")], {"at": -F.log(u) / per_second}).select("query_id", "at")
+
+
 def smoothed(latencies: DataFrame, alpha: float = 0.2) -> DataFrame:
     """Exponentially weighted latency by tier and source, kept as state.
 
