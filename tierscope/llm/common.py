@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-#: Used only where the session names no checkpoint folder, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from tierscope.plans.session import shared_dir
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -24,16 +24,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = LOCAL_CHECKPOINTS
-        spark.sparkContext.setCheckpointDir(base)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below ``shared_dir``; removed when the driver exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -98,17 +88,29 @@ _LOOK = object()
 
 
 def join_few(df: DataFrame, few: DataFrame, keys: list[str], how: str = "left", hot: DataFrame | None = _LOOK) -> DataFrame:
-    """``df`` joined with ``few``, which has one row a key at most; keys aren't null.
+    """``df`` joined (left or inner) with ``few``, which has one row a key at most;
+    keys aren't null.
 
     Rows of ``few`` for the hot keys of df (``hot_keys``, a bounded number) are
-    broadcast, so no task gets all rows of such a key. The others are shuffled.
+    broadcast. The others are shuffled, where rows of hot keys get keys by their
+    place, so no task gets all rows of such a key.
     """
     hot = hot_keys(df, keys) if hot is _LOOK else hot
     if hot is None:
         return df.join(few, keys, how)
-    hot_few = written(few.join(F.broadcast(hot), keys, "left_semi"), "hot-few")
-    some = df.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(hot_few), keys, how)
-    return some.unionByName(df.join(F.broadcast(hot), keys, "left_anti").join(few, keys, how))
+    values = [c for c in few.columns if c not in keys]
+    there = few.select(*keys, F.struct(F.lit(True).alias("in"), *values).alias("_few"))
+    none = F.struct(F.lit(False).alias("in"), *[F.lit(None).cast(few.schema[c].dataType).alias(c) for c in values])
+    found = written(hot.join(there, keys, "left").select(*keys, F.coalesce("_few", none).alias("_hot")), "hot-few")
+    tagged = df.join(F.broadcast(found), keys, "left")
+    away = F.xxhash64(F.monotonically_increasing_id())
+    spread = [F.when(F.col("_hot").isNull(), F.col(k)).otherwise(away.cast(df.schema[k].dataType)).alias(f"_key_{i}") for i, k in enumerate(keys)]
+    right = there.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    out = tagged.select("*", *spread).join(right, [f"_key_{i}" for i in range(len(keys))], "left")
+    got = F.coalesce("_hot", "_few")
+    if how == "inner":
+        out = out.where(got["in"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[got[c].alias(c) for c in values])
 
 
 def text_hash(col: str = "text") -> list:

@@ -419,6 +419,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     none = F.lit(None).cast("array<long>")
     whole = contexts.where("IF(by_word, who <> other, n > 1)").select("h", "cx", none.alias("near"), none.alias("far"))
     marks = common.written(whole.union(some), "marks")
+    common.forget(contexts, pieces)
     common.tidy(docs.sparkSession)
     # copies of a text have the same runs: one row per text and anchor (an anchor
     # with windows in two pieces of a text has a row for either)
@@ -428,7 +429,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     ends = F.when(F.col("near").isNull(), F.array(F.col("hi") + span)).otherwise(F.transform("near", lambda x: F.col("pos") - x + span))
     hit = hit.select("t1", "t2", "by_word", F.arrays_zip(starts.alias("a"), ends.alias("z")).alias("runs"))
     of = lambda by_word: F.flatten(F.collect_list(F.when(F.col("by_word") == by_word, F.col("runs"))))
-    return hit.groupBy("t1", "t2").agg(of(False).alias("spans"), of(True).alias("passages"))
+    spans = common.written(hit.groupBy("t1", "t2").agg(of(False).alias("spans"), of(True).alias("passages")), "spans")
+    common.forget(places, marks)
+    common.tidy(docs.sparkSession)
+    return spans
 
 
 def repeat_groups(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: int = 8_000) -> DataFrame:
@@ -483,7 +487,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, cap: in
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     src = src.withColumns(dict(zip(("t1", "t2"), common.text_hash(), strict=True)))
     slim = common.written(src.select("doc_id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")), "slim")
-    spans = common.written(repeated_spans(src, length, k, cap, words), "spans")
+    spans = repeated_spans(src, length, k, cap, words)
     # one row of each text that loses bytes or is returned
     first = slim.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("m")).select("t1", "t2", F.col("m.doc_id").alias("first"))
     cuts = spans.select("t1", "t2", "spans", "passages") if not with_text else slim.select("t1", "t2").distinct().join(spans, ["t1", "t2"], "left")
