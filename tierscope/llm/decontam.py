@@ -3,30 +3,38 @@
 The index holds the test items. A term's weight for an item is its BM25 weight,
 divided by the sum of the item's own, so an item that a passage covers whole
 scores 1 whatever its length. Postings are in item order, in blocks, each with
-its largest weight; blocks of all terms cover the same ranges of items.
+its largest weight; blocks of all terms cover the same ranges of items. A term
+also has a bound over its whole list.
 
 Every training text is cut into passages of two steps that overlap by one, so any
 item of up to a step's words lies whole in some passage; longer items have an index
 of their own with larger steps. Every passage is a query, for *all* items that reach
 the threshold:
-  1. Pivot: by the weights alone, an item can't reach the threshold without some
-     of its heaviest terms (what the others sum up to is too little). Only those
-     essential postings are walked, for all passages of a batch at once, and the
-     sum that an item got there plus the rest it could get bounds its score.
-  2. Block maxima of the passage's terms bound the scores in the block of each
-     item left; blocks below the threshold are skipped.
-  3. What is left is scored in full.
+  1. For all passages of a batch at once: where the list bounds of all terms of a
+     passage don't reach the threshold, no pivot exists. Terms up to which the
+     sorted bounds don't reach it can't make a pivot either, so only blocks of the
+     others are looked up, and their block maxima, with what the passage's other
+     terms can add there, leave the few blocks in which an item could reach the
+     threshold. No posting is read so far.
+  2. A passage with such blocks is searched by block-max WAND within them: the
+     cursors are ordered by their items, the pivot is the first item at which the
+     list bounds add up to the threshold; if the block maxima there don't, all
+     cursors go on behind the block; else they are brought to the pivot, and an
+     item that all of them reach is scored in full.
 A hit counts if the passage's words also hold most of the word 5-grams of the
 item's question and of its answer.
 
 The index goes to the executors in parts of a bounded size: a larger benchmark
-is searched in several passes, each with one part, so memory stays the same.
+is searched in several passes, each with one part. The driver holds one part at a
+time, and its broadcast is destroyed when the pass is written.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +44,10 @@ from pyspark.sql import functions as F
 from tierscope.llm import common
 
 #: BM25 constants; least step of passages in words; least score; least share of
-#: the 5-grams of question and answer; items per block; bytes of items per pass.
+#: the 5-grams of question and answer; items per block; bytes of items per pass;
+#: words that are searched at once.
 K1, B, STEP = 1.2, 0.75, 64
-SCORE, OVERLAP, GRAM, BLOCK, PART_BYTES = 0.6, 0.6, 5, 32, 16 << 20
+SCORE, OVERLAP, GRAM, BLOCK, PART_BYTES, AT_ONCE = 0.6, 0.6, 5, 4, 16 << 20, 1 << 18
 HIT = "item_id: bigint, passage: bigint, score: double, question_overlap: double, answer_overlap: double"
 _WORD = re.compile(r"\w+")
 
@@ -91,73 +100,156 @@ class Index:
             self.items.append(item)
             self.parts.append((q, a, grams(q), grams(a)))
             self.length.append(len(words))
-        self.terms = {w: i for i, w in enumerate(sorted({w for x in weights for w in x}))}
+        top: dict[str, float] = defaultdict(float)
+        for x in weights:
+            for w, v in x.items():
+                top[w] = max(top[w], v)
+        # terms are numbered by their bounds
+        self.terms = {w: i for i, w in enumerate(sorted(top, key=lambda w: (top[w], w)))}
         self.weights = [{self.terms[w]: v for w, v in x.items()} for x in weights]
-        essential: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        self.rest = np.zeros(len(weights))
-        self.block_max: list[dict[int, float]] = [{} for _ in range(-(-len(weights) // BLOCK))]
-        for i, x in enumerate(self.weights):
-            left = 0.0
-            for t, v in sorted(x.items(), key=lambda p: p[1]):
-                # the lightest terms, up to half the threshold, aren't essential
-                if left + v <= threshold / 2:
-                    left += v
+        self.top = np.array(sorted(top.values()))
+        self.n_blocks = -(-len(weights) // BLOCK)
+        cells = sorted((t, i, v) for i, x in enumerate(self.weights) for t, v in x.items())
+        term, self.post = (np.array([c[k] for c in cells], np.int64) for k in (0, 1))
+        self.gain = np.array([c[2] for c in cells])
+        self.ptr = np.searchsorted(term, np.arange(len(self.terms) + 1))
+        # a row for each term and block: term * n_blocks + block, and the largest weight
+        block = term * max(1, self.n_blocks) + self.post // BLOCK
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        self.block, self.block_max = block[first], np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)
+        self.block_ptr = np.searchsorted(self.block, np.arange(len(self.terms) + 1) * max(1, self.n_blocks))
+        self.stats = {"postings": 0, "read": 0, "passages": 0, "searched": 0}
+
+    def _block_max(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
+        key = term * self.n_blocks + block
+        at = np.minimum(np.searchsorted(self.block, key), len(self.block) - 1)
+        return np.where(self.block[at] == key, self.block_max[at], 0.0)
+
+    def _open_blocks(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block): where an item could reach the threshold. The pairs given
+        are distinct and in order, so a passage's terms are in order of their bounds."""
+        least, none = self.threshold - 1e-9, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if not len(term):
+            return none
+        start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        size = np.diff(np.r_[start, len(term)])
+        total = np.cumsum(self.top[term])
+        total -= np.repeat((total - self.top[term])[start], size)
+        heavy = total >= least
+        light = np.repeat(np.add.reduceat(np.where(heavy, 0, self.top[term]), start), size)
+        at, t = np.flatnonzero(heavy), term[heavy]
+        n = self.block_ptr[t + 1] - self.block_ptr[t]
+        ends = np.cumsum(n)
+        if not len(ends) or not ends[-1]:
+            return none
+        row = np.repeat(self.block_ptr[t] - ends + n, n) + np.arange(ends[-1])
+        at, t = np.repeat(at, n), np.repeat(t, n)
+        pairs, which = np.unique(passage[at] * self.n_blocks + self.block[row] - t * self.n_blocks, return_inverse=True)
+        bound = np.bincount(which, self.block_max[row], len(pairs))
+        rest = np.zeros(len(pairs))
+        rest[which] = light[at]
+        pairs = pairs[bound + rest >= least]
+        if not len(pairs):
+            return none
+        # the same with the block maxima of all terms
+        p, b = pairs // self.n_blocks, pairs % self.n_blocks
+        k = np.searchsorted(passage[start], p)
+        ends = np.cumsum(size[k])
+        at = np.repeat(start[k] - ends + size[k], size[k]) + np.arange(ends[-1])
+        bound = np.add.reduceat(self._block_max(term[at], np.repeat(b, size[k])), ends - size[k])
+        return p[bound >= least], b[bound >= least]
+
+    def _wand(self, terms: list[int], blocks: list[int]) -> list[tuple[int, float]]:
+        """(item, score) of all items in the blocks that reach the threshold."""
+        least, out, post, gain = self.threshold - 1e-9, [], self.post, self.gain
+        for block in blocks:
+            lo, hi = block * BLOCK, (block + 1) * BLOCK
+            cursors = []  # [item, position, end, bound]; a list's bound here is its block's
+            for t in terms:
+                a, z = int(self.ptr[t]), int(self.ptr[t + 1])
+                a = a + bisect_left(post[a:z], lo)
+                e = a + bisect_left(post[a:z], hi)
+                if a < e:
+                    cursors.append([int(post[a]), a, e, float(gain[a:e].max())])
+            while cursors:
+                cursors.sort()
+                bound, pivot = 0.0, None
+                for c in cursors:
+                    bound += c[3]
+                    if bound >= least:
+                        pivot = c[0]
+                        break
+                if pivot is None:
+                    break
+                if cursors[0][0] == pivot:  # all cursors up to the pivot stand there
+                    here = [c for c in cursors if c[0] == pivot]
+                    self.stats["read"] += len(here)
+                    score = sum(float(gain[c[1]]) for c in here)
+                    if score >= least:
+                        out.append((pivot, score))
+                    target = pivot + 1
                 else:
-                    essential[t].append((i, v))
-                b = self.block_max[i // BLOCK]
-                b[t] = max(b.get(t, 0.0), v)
-            self.rest[i] = left
-        self.ptr = np.cumsum([0, *map(len, essential)])
-        self.post = np.array([i for x in essential for i, _ in x], np.int64)
-        self.gain = np.array([v for x in essential for _, v in x])
+                    target = pivot
+                for c in cursors:
+                    if c[0] < target:
+                        c[1] += bisect_left(post[c[1] : c[2]], target)
+                        c[0] = int(post[c[1]]) if c[1] < c[2] else -1
+                cursors = [c for c in cursors if c[0] >= 0]
+        return out
 
     def search(self, texts: list[list[str]]) -> list[list[tuple[int, int, float]]]:
-        """For each text: (item position, passage, score) of all at the threshold."""
+        """For each text: (item position, first word of the passage, score) of all
+        items at the threshold."""
         found: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-        if not self.items or not texts:
+        if not self.items:
             return found
-        get = self.terms.get
-        ids = [np.fromiter((get(w, -1) for w in x), np.int64, len(x)) for x in texts]
-        count = np.array([max(1, -(-len(x) // self.step)) for x in ids])
+        # runs of texts of a bounded number of words; longer texts in slices that
+        # overlap by a step, as passages do
+        most = max(1, AT_ONCE // self.step) * self.step
+        run: list[tuple[int, int, list[str], bool]] = []
+        size = 0
+        for d, words in enumerate(texts):
+            for lo in range(0, max(1, len(words)), most):
+                part = words[lo : lo + most + self.step] if len(words) > most else words
+                if run and size + len(part) > most:
+                    self._search(run, found)
+                    run, size = [], 0
+                run.append((d, lo, part, lo + most < len(words)))
+                size += len(part)
+        self._search(run, found)
+        return found
+
+    def _search(self, run: list[tuple[int, int, list[str], bool]], found: list[list[tuple[int, int, float]]]) -> None:
+        get, step = self.terms.get, self.step
+        ids = [np.fromiter((get(w, -1) for w in x), np.int64, len(x)) for _, _, x, _ in run]
+        if not ids:
+            return
+        count = np.array([max(1, -(-len(x) // step)) for x in ids])
         first = np.cumsum(count) - count
         t = np.concatenate(ids)
-        where = np.concatenate([np.arange(len(x)) // self.step + f for x, f in zip(ids, first, strict=True)])
+        where = np.concatenate([np.arange(len(x)) // step + f for x, f in zip(ids, first, strict=True)])
+        known = t >= 0
+        t, where = t[known], where[known]
         begins = np.zeros(int(count.sum()) + 1, bool)
         begins[first] = True
-        known = np.flatnonzero(t >= 0)
-        t, where = t[known], where[known]
-        n = self.ptr[t + 1] - self.ptr[t]
-        ends = np.cumsum(n)
-        at = np.repeat(self.ptr[t] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-        where, t = np.repeat(where, n), np.repeat(t, n)
         # a word is in the passage that starts in its step and in the one before
         back = ~begins[where]
-        passage = np.r_[where, where[back] - 1]
-        item, term, gain = (np.r_[x, x[back]] for x in (self.post[at], t, self.gain[at]))
-        key = passage * len(self.items) + item
-        order = np.lexsort((term, key))
-        key, term, gain = key[order], term[order], gain[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (term[1:] != term[:-1])] if len(key) else np.zeros(0, bool)
-        key, gain = key[new], gain[new]
-        pairs, inverse = np.unique(key, return_inverse=True)
-        bound = np.bincount(inverse, gain, len(pairs)) + self.rest[pairs % len(self.items)] if len(pairs) else np.zeros(0)
-        owner = np.searchsorted(first, pairs // len(self.items), "right") - 1
-        seen_passage, have, block_bound = -1, set(), {}
-        for pair, d in zip(pairs[bound >= self.threshold - 1e-9].tolist(), owner[bound >= self.threshold - 1e-9].tolist(), strict=True):
-            p, i = divmod(pair, len(self.items))
-            lo = (p - int(first[d])) * self.step
-            if p != seen_passage:
-                seen_passage, have, block_bound = p, set(ids[d][lo : lo + 2 * self.step].tolist()), {}
-            b = i // BLOCK
-            if b not in block_bound:
-                top = self.block_max[b]
-                block_bound[b] = sum(top.get(x, 0.0) for x in have)
-            if block_bound[b] < self.threshold - 1e-9:
-                continue
-            score = sum(v for x, v in self.weights[i].items() if x in have)
-            if score >= self.threshold - 1e-9:
-                found[d].append((i, lo, score))
-        return found
+        key = np.unique(np.r_[where, where[back] - 1] * len(self.terms) + np.r_[t, t[back]]) if len(t) else np.zeros(0, np.int64)
+        passage, term = key // max(1, len(self.terms)), key % max(1, len(self.terms))
+        p, b = self._open_blocks(passage, term)
+        self.stats["passages"] += int(count.sum())
+        self.stats["postings"] += int((self.ptr[term + 1] - self.ptr[term]).sum())
+        ends = np.flatnonzero(np.r_[p[1:] != p[:-1], True]) if len(p) else np.zeros(0, np.int64)
+        lo = 0
+        for hi in (ends + 1).tolist():
+            one = int(p[lo])
+            k = int(np.searchsorted(first, one, "right")) - 1
+            d, offset, _, cut = run[k]
+            if not (cut and one - first[k] == count[k] - 1):  # that one is the next slice's first
+                a, z = np.searchsorted(passage, [one, one + 1])
+                self.stats["searched"] += 1
+                found[d] += [(i, offset + int(one - first[k]) * step, score) for i, score in self._wand(term[a:z].tolist(), b[lo:hi].tolist())]
+            lo = hi
 
     def verified(self, words: list[str], hits: list[tuple[int, int, float]], overlap: float = OVERLAP) -> list[tuple]:
         """Hits whose question and answer both overlap, the best of each item."""
@@ -176,8 +268,9 @@ class Index:
         return list(best.values())
 
 
-def _parts(benchmark: DataFrame, part_bytes: int) -> list[tuple[list[tuple[int, str]], dict[str, int], int, float]]:
-    """Items in parts of bounded bytes, with the frequencies of their words."""
+def _parts(benchmark: DataFrame, part_bytes: int) -> tuple[int, Iterator[tuple[list[tuple[int, str]], dict[str, int], int, float]]]:
+    """The number of parts, and items in parts of bounded bytes, one at a time, with
+    the frequencies of their words."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     items = common.written(items.distinct(), "items")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -185,20 +278,22 @@ def _parts(benchmark: DataFrame, part_bytes: int) -> list[tuple[list[tuple[int,
     words = items.select("item_id", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("w"))
     df = common.written(words.groupBy("w").agg(F.count("*").alias("n")), "item-words") if n_parts > 1 else None
     stats = items.agg(F.count("*"), F.avg(F.size(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))))).first()
-    out = []
-    for k in range(n_parts):
-        rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).orderBy("item_id", "text").collect()]
-        count: dict[str, int] = defaultdict(lambda: 1)
-        if df is None:
-            count.clear()
-            for _, text in rows:
-                for w in set(words_of(text)):
-                    count[w] = count.get(w, 0) + 1
-        else:
-            mine = items.sparkSession.createDataFrame([(w,) for w in sorted({w for _, x in rows for w in words_of(x)})], "w string")
-            count.update({w: n for w, n in df.join(F.broadcast(mine), "w").collect()})  # words of one part
-        out.append((rows, dict(count), stats[0], max(stats[1] or 1.0, 1.0)))
-    return out
+
+    def each():
+        for k in range(n_parts):
+            rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_parts)) == k).orderBy("item_id", "text").collect()]  # about part_bytes
+            mine = {w for _, x in rows for w in words_of(x)}
+            if df is None:
+                count: dict[str, int] = defaultdict(int)
+                for _, text in rows:
+                    for w in set(words_of(text)):
+                        count[w] += 1
+            else:
+                listed = items.sparkSession.createDataFrame([(w,) for w in sorted(mine)], "w string")
+                count = dict.fromkeys(mine, 1) | {w: n for w, n in df.join(F.broadcast(listed), "w").collect()}  # words of one part
+            yield rows, dict(count), stats[0], max(stats[1] or 1.0, 1.0)
+
+    return n_parts, each()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCORE, overlap: float = OVERLAP, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -207,40 +302,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = SCOR
 
     ``passage`` is the number of the word at which the passage starts. Null and
     empty texts and items have no hits. Items with the same id and text count
-    once; items that share an id are searched each. Repeated rows stay.
+    once; items that share an id are searched each. Repeated rows stay. A column
+    of docs that is called leaks is replaced; others keep their names and values.
     """
     spark = docs.sparkSession
     common.tune(spark)
-    names = docs.columns
-    out = docs.withColumn("_leaks", F.array().cast(f"array<struct<{HIT}>>"))
-    for rows, df, n, mean in _parts(benchmark, part_bytes):
-        if not rows:
-            continue
-        for _, text in rows:
-            for w in words_of(text):
-                df.setdefault(w, 1)
+    names = [c for c in docs.columns if c != "leaks"]
+    kind, none = f"array<struct<{HIT}>>", F.array().cast(f"array<struct<{HIT}>>")
+    fields = [f.split(":")[0] for f in HIT.split(", ")]
+    n_parts, parts = _parts(benchmark, part_bytes)
+
+    def searched(src: DataFrame, part) -> tuple[DataFrame, object]:
+        """src (its last column the text), that column replaced by the hits."""
+        rows, df, n, mean = part
         steps: dict[int, list[tuple[int, str]]] = defaultdict(list)
         for r in rows:
             steps[step_for(len(words_of(r[1])))].append(r)
         index = spark.sparkContext.broadcast([Index(x, df, n, mean, threshold, k) for k, x in sorted(steps.items())])
-        src = out.select(*[F.col(f"`{c}`") for c in names], "_leaks", F.col("text").cast("string").alias("_text"))
-        schema = src.select(*names, "_leaks").schema
-        fields = [f.split(":")[0] for f in HIT.split(", ")]
+        last = src.columns[-1]
 
-        def run(batches, index=index, fields=fields):
+        def run(batches):
             for b in batches:
-                k = b.num_columns
-                words = [words_of(t) for t in b.column(k - 1).to_pylist()]
-                had = b.column(k - 2).to_pylist()
-                leaks = [list(h) for h in had]
+                words = [words_of(t) for t in b.column(b.num_columns - 1).to_pylist()]
+                leaks: list[list[dict]] = [[] for _ in words]
                 for one in index.value:
                     for h, w, hits in zip(leaks, words, one.search(words), strict=True):
-                        h += [dict(zip(fields, x, strict=True)) for x in one.verified(w, hits, overlap)]
-                column = pa.array([sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"], y["passage"])) for x in leaks], b.schema.field(k - 2).type)
-                yield pa.RecordBatch.from_arrays([*b.columns[: k - 2], column], schema=pa.schema([b.schema.field(i) for i in range(k - 1)]))
-
-        out = src.mapInArrow(run, schema)
-    return out.withColumnRenamed("_leaks", "leaks")
+                        if hits:
+                            h += [dict(zip(fields, x, strict=True)) for x in one.verified(w, hits, overlap)]
+                column = pa.array([sorted(x, key=lambda y: (y["item_id"] is None, y["item_id"], y["passage"])) for x in leaks], pa.list_(pa.struct([("item_id", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], column], schema=pa.schema([*(b.schema.field(i) for i in range(b.num_columns - 1)), pa.field("leaks", column.type)]))
+
+        return src.mapInArrow(run, src.drop(last).withColumn("leaks", F.lit(None).cast(kind)).schema), index
+
+    text = F.col("text").cast("string")
+    if n_parts == 1:
+        row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+        return searched(docs.select(row, text.alias("text")), next(parts))[0].select("row.*", "leaks")
+    # several parts: the hits of each different text, part by part
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], *[h.alias(f"_leaks_{i}") for i, h in enumerate(common.text_hash())])
+    every = None
+    for part in parts:
+        hits, index = searched(docs.select(*common.text_hash(), text.alias("text")), part)
+        hits = common.written(hits.where(F.size("leaks") > 0).dropDuplicates(["t1", "t2"]), "hits")
+        index.destroy()
+        every = hits if every is None else every.union(hits)
+    every = every.groupBy(F.col("t1").alias("_leaks_0"), F.col("t2").alias("_leaks_1")).agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("leaks"))
+    return common.join_few(keyed, common.written(every, "leaks"), ["_leaks_0", "_leaks_1"]).select(*[F.col(f"`{c}`") for c in names], F.coalesce("leaks", none).alias("leaks"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
