@@ -23,24 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tierscope.llm import common, tokens
+from tierscope.llm import common, shared_files, tokens
 
 WINDOW = 2048
+#: Input parts whose ranks share a folder.
+SLOT = 256
 
 
-def combinations(lengths: np.ndarray, window: int, thin: int = 8) -> np.ndarray:
-    """(m, 3) rows of two or three of ``lengths`` (0: none) that add up to window.
-
-    With many lengths one of ``thin`` triples is kept, evenly spread.
-    """
+def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
+    """(m, 3) rows of all two or three of ``lengths`` (0: none) that add up to
+    window: about window² / 12 rows at most."""
     have = np.zeros(window + 1, bool)
     have[lengths] = True
-    thin = thin if len(lengths) > 256 else 1
     pairs = lengths[(lengths * 2 <= window) & have[window - lengths]]
     out = [np.stack([pairs, window - pairs, np.zeros_like(pairs)], 1)]
     for i in lengths[lengths * 3 <= window]:
         j = lengths[(lengths >= i) & (lengths * 2 <= window - i)]
-        j = j[(j + 31 * i) % thin == 0]
         j = j[have[window - i - j]]
         out.append(np.stack([np.full_like(j, i), j, window - i - j], 1))
     return np.concatenate(out)
@@ -89,21 +87,26 @@ class Plan:
         repeats = np.zeros(len(combos), np.int64)
         if len(combos):
             x = solve(combos, left)
-            need = [{int(k): row.count(k) for k in row if k} for row in combos.tolist()]
             avail = left.tolist()
 
             def take(s: int, most: int) -> None:
-                n = min(most, *(avail[k] // v for k, v in need[s].items()))
+                need = [k for k in combos[s].tolist() if k]
+                n = min(most, *(avail[k] // need.count(k) for k in need))
                 if n > 0:
                     repeats[s] += n
-                    for k, v in need[s].items():
-                        avail[k] -= n * v
+                    for k in need:
+                        avail[k] -= n
 
-            for s in np.argsort(-x, kind="stable"):
+            for s in np.argsort(-x, kind="stable")[: int((x >= 1).sum())]:
                 take(s, int(x[s]))
-            for s in np.argsort(-(x - np.floor(x)), kind="stable"):
+            part = x - np.floor(x)
+            for s in np.argsort(-part, kind="stable")[: int((part > 1e-9).sum())]:
                 take(s, 1)
-            for s in np.argsort(-x, kind="stable"):
+            # then any combination that still fits, those with the largest share first
+            order = np.argsort(-x, kind="stable")
+            have = np.array(avail, np.int64)
+            have[0] = 1 << 60
+            for s in order[(have[combos[order]] > 0).all(1)]:
                 take(s, 1 << 60)
             left = np.array(avail, np.int64)
         used = np.flatnonzero(repeats)
@@ -179,13 +182,28 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     total_full = fulls.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     fulls = fulls.select("part", F.coalesce(F.sum("f").over(before.orderBy("part")), F.lit(0)).alias("full_base"))
     bases = cells.select("part", "rem", F.coalesce(F.sum("c").over(before.partitionBy("rem").orderBy("part")), F.lit(0)).alias("base")).join(fulls, "part")
-    placed = table.join(bases, ["part", "rem"]).select("doc_id", "n", (F.col("full_base") + F.col("full_before")).alias("full"), (F.col("base") + F.col("rank")).alias("rank"), "size", "ids")
+    # ranks of a part's first remainders: a row for each part and length, which grow
+    # with the input. They aren't joined or broadcast: a task reads those of its parts
+    # from the shared folder, one folder for a bounded number of parts.
+    folder = common.fresh_dir(spark, "bases")
+    bases.withColumn("slot", (F.col("part") / SLOT).cast("int")).repartition("slot").write.partitionBy("slot").parquet(folder)
+
+    def bases_of(part: int) -> tuple[int, dict[int, int]]:
+        import pyarrow.parquet as pq
+
+        fs, path = shared_files.file_system(f"{folder}/slot={part // SLOT}")
+        rows = pq.read_table(path, columns=["rem", "base", "full_base"], filesystem=fs, filters=[("part", "=", part)], partitioning=None)
+        return rows.column("full_base")[0].as_py(), dict(zip(rows.column("rem").to_pylist(), rows.column("base").to_pylist(), strict=True))
 
     def pieces(batches):
         p, names = plan.value, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        now, base, full_base = None, {}, 0
         for b in batches:
             rows: list[list[int]] = [[] for _ in names]
-            for doc, n, full, rank, size, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for doc, n, full, rank, size, raw, part, rem in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+                if part != now:
+                    now, (full_base, base) = part, bases_of(part)
+                full, rank = full + full_base, rank + base[rem]
                 ids, at = np.frombuffer(raw, np.uint16 if size == 2 else np.uint32).astype("<u4"), 0
                 where = [(full + i, 0, window) for i in range(n // window)]
                 if n % window:
@@ -196,7 +214,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
                     at += k
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=names)
 
-    return placed.mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return table.select("doc_id", "n", "full_before", "rank", "size", "ids", "part", "rem").mapInArrow(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
