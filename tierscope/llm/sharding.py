@@ -11,7 +11,8 @@ members elsewhere ask to move there. The requests are added up to an n_shards x
 reaches the driver. It grants what quotas allow: each shard takes in as many
 documents as leave it, where documents without links may leave in exchange at no
 cost. Spark then grants the requests with the largest gain first, and splits the
-last one. So counts stay exactly as they were while cut links fall.
+last one. So counts stay exactly as they were while cut links fall. Rounds go on
+until one cuts no more requests than the one before it did.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def grant(asked: np.ndarray, loose: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return moves, exchange
 
 
-def propagate(cells: DataFrame, n_shards: int, rounds: int = 6) -> DataFrame:
+def propagate(cells: DataFrame, n_shards: int, rounds: int = 20) -> DataFrame:
     """Rounds over (g, shard, n): members of group g in a shard; sums to itself."""
     spark = cells.sparkSession
     cells = common.written(cells, "cells")
@@ -104,13 +105,15 @@ def propagate(cells: DataFrame, n_shards: int, rounds: int = 6) -> DataFrame:
     return cells
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
+def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 20) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, links, cut_links for
+    every row.
 
     Law ``rows``: the counts of any two shards differ by one at most. Links join
     equal texts; a group larger than a shard spreads over several. A null text
     has no bytes and is equal to the empty text. Repeated rows are documents of
-    their own.
+    their own. links counts the other members of a row's group, cut_links those
+    of them in other shards; half the sum of cut_links is the cut.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), *common.text_hash())
@@ -139,6 +142,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, rounds: int = 6) -> Dat
         here = (F.col("r") >= acc["at"]) & (F.col("r") < end)
         return F.struct(end.alias("at"), F.when(here, c["shard"]).otherwise(acc["shard"]).alias("shard"))
 
-    placed = salted.join(parts, ["g", "s"]).select("uid", F.aggregate("cells", first, step, lambda a: a["shard"]).alias("shard"))
+    placed = salted.join(parts, ["g", "s"]).select("uid", "cells", F.aggregate("cells", first, step, lambda a: a["shard"]).alias("shard"))
+    members = lambda keep: F.aggregate(F.filter("cells", keep), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
+    placed = placed.select("uid", "shard", (members(lambda c: F.lit(True)) - 1).alias("links"), members(lambda c: c["shard"] != F.col("shard")).alias("cut_links"))
     placed = common.ranked(common.written(placed, "placed"), ["shard"], ["uid"], "slot")
-    return src.join(placed, "uid").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return src.join(placed, "uid").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "links", "cut_links")
