@@ -5,9 +5,10 @@ over hashed words and word beginnings, and over the probabilities of the links
 before it. For training those are out-of-fold predictions (each by models that
 never saw the row), so a link learns from the errors that it will meet.
 
-The models are fitted on the driver from at most ``MAX_ROWS`` labelled rows, the
-first by a hash of doc_id; features are extracted by the executors and only
-their numbers are sent. Every row of the corpus is scored.
+The models are fitted from at most ``MAX_ROWS`` labelled rows, the first by a hash of
+doc_id; features are extracted by the executors and only their numbers are sent.
+The model of a link and those of its folds are fitted side by side, each in a task
+of its own. Every row of the corpus is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierscope.llm import common
@@ -134,19 +135,54 @@ class Chain:
     threshold: float
 
 
-def fit_chain(xs: list[np.ndarray], ys: np.ndarray, folds: int = FOLDS, epochs: int = EPOCHS) -> Chain:
+def fit_fold(xs: list[np.ndarray], seen: np.ndarray, y: np.ndarray, fold: int, folds: int, epochs: int = EPOCHS) -> tuple[Linear, np.ndarray, np.ndarray]:
+    """(model, rows, probabilities): fitted without the rows of the fold, which it
+    then predicts; fold -1 leaves out none."""
+    mine = np.arange(len(y)) % folds == fold
+    rows = np.flatnonzero(~mine)
+    m = fit([xs[i] for i in rows], seen[rows], y[rows], epochs)
+    held = np.flatnonzero(mine)
+    return m, held, np.array([m.probability(xs[i], seen[i]) for i in held])
+
+
+def _side_by_side(spark: SparkSession, xs, seen, y, folds: list[int], of: int, epochs: int):
+    """``fit_fold`` of each fold in a task of its own."""
+    shared = spark.sparkContext.broadcast((xs, seen, y))  # at most MAX_ROWS rows
+
+    def run(batches):
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                m, rows, p = fit_fold(*shared.value, f, of, epochs)
+                at = np.flatnonzero(m.w).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"fold": pa.array([f], pa.int64()), **{k: pa.array([x.tolist()], t) for k, x, t in (("at", at, pa.list_(pa.int64())), ("w", m.w[at], pa.list_(pa.float32())), ("u", m.u, pa.list_(pa.float32())), ("rows", rows, pa.list_(pa.int64())), ("p", p, pa.list_(pa.float64())))}})
+
+    tasks = spark.range(0, len(folds), 1, len(folds)).select((F.col("id") + min(folds)).alias("fold"))
+    done = tasks.mapInArrow(run, "fold long, at array<long>, w array<float>, u array<float>, rows array<long>, p array<double>").collect()  # models of at most BEST features
+    shared.destroy()
+    out = {}
+    for r in done:
+        m = Linear(np.zeros(DIMS, np.float32), np.array(r["u"], np.float32))
+        m.w[np.array(r["at"], np.int64)] = np.array(r["w"], np.float32)
+        out[r["fold"]] = m, np.array(r["rows"], np.int64), np.array(r["p"])
+    return [out[f] for f in folds]
+
+
+def fit_chain(xs: list[np.ndarray], ys: np.ndarray, folds: int = FOLDS, epochs: int = EPOCHS, spark: SparkSession | None = None) -> Chain:
     """One model per column of ys; later ones are fitted on out-of-fold
-    probabilities of the earlier ones, and the last one's set the threshold."""
+    probabilities of the earlier ones, and the last one's set the threshold.
+    With a session, models of a link are fitted side by side in its executors."""
     n, k = ys.shape
-    fold, seen, links, threshold = np.arange(n) % folds, np.zeros((n, 0)), [], 0.5
+    seen, links, threshold = np.zeros((n, 0)), [], 0.5
+    parts = list(range(-1, min(folds, n)))
     for c in range(k):
-        links.append(fit(xs, seen, ys[:, c], epochs))
+        if spark is None:
+            done = [fit_fold(xs, seen, ys[:, c], f, folds, epochs) for f in parts]
+        else:
+            done = _side_by_side(spark, xs, seen, ys[:, c], parts, folds, epochs)
+        links.append(done[0][0])
         out = np.zeros(n)
-        for f in range(min(folds, n)):
-            rows = np.flatnonzero(fold != f)
-            m = fit([xs[i] for i in rows], seen[rows], ys[rows, c], epochs)
-            for i in np.flatnonzero(fold == f):
-                out[i] = m.probability(xs[i], seen[i])
+        for _, rows, p in done[1:]:
+            out[rows] = p
         threshold = best_threshold(out, ys[:, c])
         seen = np.c_[seen, out]
     return Chain(links, threshold)
@@ -160,8 +196,13 @@ def predict(chain: Chain, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, max_rows: int = MAX_ROWS) -> Chain:
-    """Chain from the labelled rows; rows with a null label or id are left out."""
-    known = labels.select("doc_id", *(F.col(c).cast("double").alias(c) for c in categories)).dropna().dropDuplicates(["doc_id"])
+    """Chain from the labelled rows; rows with a null label or id are left out.
+
+    Of clashing labels of an id the largest counts, category by category; of the
+    texts of an id, that with the largest features.
+    """
+    known = labels.select("doc_id", *(F.col(c).cast("double").alias(c) for c in categories)).dropna()
+    known = known.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     known = common.written(known, "labelled")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_rows
@@ -182,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
         xs.append(np.frombuffer(r["x"], np.int32))
         ys.append([r[c] for c in categories])
     ys = np.array(ys).reshape(len(ys), len(categories))
-    return fit_chain(xs, ys)
+    return fit_chain(xs, ys, spark=docs.sparkSession if len(ys) else None)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str], categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
