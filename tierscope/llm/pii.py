@@ -1,9 +1,12 @@
 """Personal data: fixed patterns plus bootstrapped context patterns, all native.
 
-Base spans come from four expressions. They seed a bootstrap over the whole
-corpus: every token with a digit or an @ is an occurrence with a lexical pattern
-(the two words before it, earlier tokens by their shape) and an instance (the identifier that starts there: a
-base span, or the token with the groups of digits that follow it). Rounds of
+Base spans come from four expressions. They seed a bootstrap over all different
+texts of the corpus, with secrets (keys and tokens of well-known forms behind a =
+or :) as a fifth kind. Every word with a digit or an @ is an occurrence. It has an
+instance (the identifier that starts there: a base span, or the word with the
+groups of digits that follow it) and lexical patterns: the two words before it, the
+word before it, and the word after it; earlier and later words with digits count by
+their shape, the ends of the text as ^ and $. Rounds of
 aggregation over the distinct pattern-instance edges score patterns by the share
 of their instances known for a kind, and instances by the patterns that accept
 them, if they could be of that kind at all (``_plausible``); accepted instances
@@ -13,7 +16,8 @@ pattern's kind.
 
 The expressions are the specified ones made linear: runs are possessive, and a
 match starts at the end of the match before or at the start of its run, where
-the leftmost match must start.
+the leftmost match must start. Offsets are running totals by doubling, and spans
+are looked up by halving, so a text of n matches takes about n log n steps.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from tierscope.llm import common
 
 KINDS = ["email", "ip", "card", "phone"]
+#: What the bootstrap knows besides; it has no base spans.
+ALL_KINDS = [*KINDS, "secret"]
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -39,27 +45,42 @@ LOOSE = {
     "ip": r"^([0-9]+([.][0-9]+){3}(:[0-9]+)?|[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7})(/[0-9]+)?$",
     "card": r"^[0-9][0-9 .-]*$",
     "phone": r"^[+(]*[0-9][0-9 ().+/-]*$",
+    "secret": r"^(?=.*\p{L})(?=.*[0-9])[\p{L}0-9+/_.=-]{16,}$",
 }
 DIGITS = {"card": (12, 19), "phone": (7, 15)}
-#: A pattern needs this many known instances, and this share of all its instances.
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.6, 3
-TOKENS = "array<struct<start:int,end:int,token:string,before:string,more:string>>"
+#: Forms of keys that seed the secrets, where the word before ends in = or :
+SECRET = r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[a-z]{2,4}[-_][0-9a-z_-]{20,}|akia[0-9a-z]{16})$"
+#: A pattern needs this many known instances, and this share of all its instances;
+#: patterns of a single word need the higher share.
+SUPPORT, CONFIDENCE, STRONG, ROUNDS = 3, 0.6, 0.9, 3
+SPANS = "array<struct<start:int,k:int,end:int>>"
+TOKENS = "array<struct<start:int,end:int,token:string,more:string,before:array<string>,after:string>>"
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, token>> of all matches, by code points."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:int,end:int,token:string>>"
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+def _let(x: Column, f) -> Column:
+    """f(x) with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["token"])
-        item = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).cast(kind).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+def _running(values: Column, add) -> Column:
+    """Running totals of an array of ints by ``add``, in log n passes."""
+    kind = "array<int>"
+    n = F.size(values)
+    steps = F.when(n > 1, F.transform(F.sequence(F.lit(0), F.floor(F.log2(n - 1)).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))).otherwise(F.array().cast(kind))
+    return F.aggregate(steps, values.cast(kind), lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, add(x, F.get(acc, i - k))).otherwise(x)).cast(kind))
+
+
+def _matches(text: Column, pattern: str, groups: int = 0) -> Column:
+    """array<struct<start, end, token, gap, more>> of all matches, by code points;
+    gap: the text since the match before; more: the first group, if there is one."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"), F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)).alias("more"))
+
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["token"]))
+        ends = _running(lengths, lambda x, y: x + y)
+        return _let(ends, lambda e: F.transform(pairs, lambda x, i: F.struct((F.get(e, i) - F.length(x["token"])).alias("start"), F.get(e, i).alias("end"), x["token"].alias("token"), x["gap"].alias("gap"), x["more"].alias("more"))))
+
+    return _let(F.filter(parts, lambda x: x["token"].isNotNull()), placed)
 
 
 def _valid(kind: str, x: Column) -> Column:
@@ -89,49 +110,56 @@ def _valid(kind: str, x: Column) -> Column:
 def _base(text: Column) -> Column:
     """All base spans of a text: array<struct<start, kind number, end>>, sorted."""
     quick = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    kind = "array<struct<start:int,k:int,end:int>>"
     parts = []
 
     def spans_of(k: int, name: str) -> Column:
-        found = F.filter(_located(text, PATTERNS[name]), lambda x: _valid(name, x))
-        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"))).cast(kind)
+        found = F.filter(_matches(text, PATTERNS[name]), lambda x: _valid(name, x))
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"))).cast(SPANS)
 
     for k, name in enumerate(KINDS):
         spans = spans_of(k, name)
-        parts.append(F.when(quick[name], spans).otherwise(F.array().cast(kind)) if name in quick else spans)
+        parts.append(F.when(quick[name], spans).otherwise(F.array().cast(SPANS)) if name in quick else spans)
     return F.array_sort(F.concat(*parts))
 
 
 def _reduced(token: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    return F.regexp_replace(F.regexp_replace(F.lower(token), "[0-9]+", "9"), r"\p{L}+", "a")
+
+
+def _words(gap: Column) -> Column:
+    """Lower-cased words of the text between two tokens."""
+    return F.filter(F.split(F.lower(gap), r"\s+", -1), lambda w: w != "")
 
 
 def _tokens(text: Column) -> Column:
-    """array<struct<start, end, token, before, more>> of all tokens.
+    """All words with a digit or an @: start, end, token, more (the groups of digits
+    after it), the two words before it and the word after it, whole."""
 
-    before: the end of the text before it, after a ^ for the start of the text,
-    with earlier tokens reduced to their shapes. more: the groups after it.
-    """
-    gaps = F.split(text, TOKEN, -1)
-    found, more = (F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i)) for i in (0, 1))
-    first = F.struct(F.lit(0).alias("at"), F.lit("^ ").alias("tail"), F.array().cast(TOKENS).alias("out"))
+    def around(found: Column) -> Column:
+        shape = lambda i: F.coalesce(_reduced(F.get(found, i)["token"]), F.lit("^"))
+        last = F.slice(F.split(text, TOKEN, -1), F.size(found) + 1, 1)  # the text after the last token
+        gaps = F.transform(F.concat(F.transform(found, lambda x: x["gap"]), last), _words)
+
+        def one(g: Column) -> Column:
+            def token(x: Column, i: Column) -> Column:
+                near, early = F.get(g, i), F.get(g, i - 1)
+                before = F.concat(F.when(i > 0, F.coalesce(F.get(early, F.size(early) - 1), shape(i - 2))).otherwise(F.lit("^")), F.lit("\n"), F.when(i > 0, shape(i - 1)).otherwise(F.lit("^")))
+                two = F.slice(F.concat(F.split(before, "\n", -1), near), -2, 2)
+                then = F.get(g, i + 1)
+                after = F.coalesce(F.get(then, F.lit(0)), _reduced(F.get(found, i + 1)["token"]), F.lit("$"))
+                return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token"), x["more"].alias("more"), two.alias("before"), after.alias("after"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["token"])
-        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(64))
-        item = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), before.alias("before"), x["more"].alias("more"))
-        tail = F.concat(before, _reduced(x["token"]))
-        return F.struct(end.alias("at"), tail.alias("tail"), F.concat(acc["out"], F.array(item)).cast(TOKENS).alias("out"))
+            return F.transform(found, token)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("token"), more.alias("more"))
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+        return _let(gaps, one)
+
+    return _let(_matches(text, TOKEN, 1), around).cast(TOKENS)
 
 
 def _plausible(instance: Column, kind: Column) -> Column:
     """Whether a text could be an identifier of the kind with this number."""
     n, out = F.length(F.regexp_replace(instance, "[^0-9]", "")), F.lit(False)
-    for k, name in enumerate(KINDS):
+    for k, name in enumerate(ALL_KINDS):
         fits = instance.rlike(LOOSE[name])
         out = F.when(kind == k, fits & n.between(*DIGITS[name]) if name in DIGITS else fits).otherwise(out)
     return out
@@ -144,69 +172,131 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     # every span and token has a digit or an @: one cheap look spares most texts
     some = F.col("_body").rlike("[0-9@]")
     base, tokens = _base(F.col("_body")), _tokens(F.col("_body"))
-    none = [F.array().cast(t) for t in ("array<struct<start:int,k:int,end:int>>", TOKENS)]
-    src = src.select(*keep, "t1", "t2", F.when(some, base).otherwise(none[0]).alias("base"), F.when(some, tokens).otherwise(none[1]).alias("tokens"))
+    src = src.select(*keep, "t1", "t2", F.when(some, base).otherwise(F.array().cast(SPANS)).alias("base"), F.when(some, tokens).otherwise(F.array().cast(TOKENS)).alias("tokens"))
     return common.written(src, "pii-scan")
 
 
-def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(t1, t2, added): spans per text that context patterns add."""
-    one = scanned.select("t1", "t2", "base", F.explode("tokens").alias("t"))
-    starts = lambda s: (s["start"] >= F.col("t.start")) & (s["start"] < F.col("t.end"))
-    hit = lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.col("t.before")), r"\s+", " ")), " ")
-    # a group of digits goes on with those after it, unless a base span starts there
-    whole = F.concat("t.token", "t.more")
-    follows = F.exists("base", lambda s: (s["start"] >= F.col("t.end")) & (s["start"] < F.col("t.end") + F.length("t.more")))
-    number = F.col("t.token").rlike(r"^[+(]*[0-9][().0-9-]*$") & ~F.col("t.token").rlike(r"^[0-9]+([.][0-9]+){3}$")
-    raw = F.when(number & ~follows, whole).otherwise(F.col("t.token"))
-    free = F.regexp_replace(raw, r"""^[<"'\[{]+""", "")
-    own = F.try_element_at(F.filter("base", starts), F.lit(1))
-    one = one.select("t1", "t2", "base", "t", words.alias("words"), own.alias("own"), whole.alias("whole"), F.regexp_replace(free, r"[^\p{L}\p{N}]+$", "").alias("free"), (F.col("t.start") + F.length(raw) - F.length(free)).alias("at"))
-    mine = F.col("own").isNotNull()
-    seen = one.select(
-        "t1", "t2", "base", F.when(mine, F.col("own.start")).otherwise(F.col("at")).alias("start"),
-        F.when(mine, F.col("own.end")).otherwise(F.col("at") + F.length("free")).alias("end"),
-        F.lower(F.when(mine, F.col("whole").substr(F.col("own.start") - F.col("t.start") + 1, F.col("own.end") - F.col("own.start"))).otherwise(F.col("free"))).alias("instance"),
-        F.slice("words", F.greatest(F.size("words") - 1, F.lit(1)), F.lit(2)).alias("context"), F.col("own.k").alias("k"),
-    )
-    seen = seen.withColumn("covered", F.exists("base", hit)).drop("base")
+def _below(spans: Column, x: Column) -> Column:
+    """How many spans, in order of their starts, start before x; by halving."""
+    n = F.size(spans)
+    first = F.struct(F.lit(0).alias("lo"), n.alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        right = F.get(spans, mid)["start"] < x
+        new = F.struct(F.when(right, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(mid).alias("hi"))
+        return F.when(acc["lo"] < acc["hi"], new).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(n + 1)).cast("int")), first, step, lambda acc: acc["lo"])
+
+
+def _with(array: Column, names: list[str], **fields) -> tuple[Column, list[str]]:
+    """The structs of an array with more fields, each a function of the struct: what a
+    step makes is read by later ones and computed once. With the fields' names."""
+    new = F.transform(array, lambda x: F.struct(*[x[n].alias(n) for n in names], *[f(x).alias(k) for k, f in fields.items()]))
+    return new, [*names, *fields]
+
+
+def _occurrences(base: Column, tokens: Column) -> Column:
+    """array<struct<start, end, instance, k, covered, patterns>> of a text's tokens."""
+
+    def own(x: Column) -> Column:
+        return _let(F.get(base, _below(base, x["start"])), lambda span: F.when(span["start"] < x["end"], span))
+
+    def raw(x: Column) -> Column:
+        # a group of digits goes on with those after it, unless a base span starts there
+        follows = F.coalesce(x["next"] < x["end"] + F.length(x["more"]), F.lit(False))
+        number = x["token"].rlike(r"^[+(]*[0-9][().0-9-]*$") & ~x["token"].rlike(r"^[0-9]+([.][0-9]+){3}$")
+        whole = F.concat(x["token"], x["more"])
+        return F.when(number & ~follows & (F.length(F.regexp_replace(whole, "[^0-9]", "")) <= 19), whole).otherwise(x["token"])
+
+    def body(x: Column) -> Column:
+        return F.regexp_replace(F.substring(x["raw"], F.length(x["label"]) + 1, F.length(x["raw"])), r"""^[<"'\[{]+""", "")
+
+    def words(x: Column) -> Column:
+        return F.when(x["label"] != "", F.array(F.element_at(x["before"], 2), F.lower(x["label"]))).otherwise(x["before"])
+
+    def instance(x: Column) -> Column:
+        span = F.substring(F.concat(x["token"], x["more"]), x["own"]["start"] - x["start"] + 1, x["own"]["end"] - x["own"]["start"])
+        return F.lower(F.when(x["own"].isNotNull(), span).otherwise(x["free"]))
+
+    def place(x: Column) -> Column:
+        at = x["start"] + F.length(x["raw"]) - F.length(x["body"])
+        return F.coalesce(x["own"], F.struct(at.alias("start"), F.lit(None).cast("int").alias("k"), (at + F.length(x["free"])).alias("end")))
+
+    def made(far: Column) -> Column:
+        def one(x: Column) -> Column:
+            secret = x["instance"].rlike(SECRET) & F.element_at(x["words"], 2).rlike("[=:]$")
+            covered = F.coalesce((x["starts"] > 0) & (F.get(far, x["starts"] - 1) > x["place"]["start"]), F.lit(False))
+            patterns = F.array(F.concat(F.lit("2 "), F.array_join(x["words"], " ")), F.concat(F.lit("1 "), F.element_at(x["words"], 2)), F.concat(F.lit("r "), x["after"]))
+            k = F.coalesce(x["place"]["k"], F.when(secret, F.lit(len(KINDS))))
+            return F.struct(x["place"]["start"].alias("start"), x["place"]["end"].alias("end"), x["instance"].alias("instance"), k.alias("k"), covered.alias("covered"), patterns.alias("patterns"))
+
+        return F.transform(rows, one)
+
+    rows, names = _with(tokens, ["start", "end", "token", "more", "before", "after"], own=own, next=lambda x: F.get(base, _below(base, x["end"]))["start"])
+    rows, names = _with(rows, names, raw=raw)
+    # label=value is a value after the word label=
+    rows, names = _with(rows, names, label=lambda x: F.regexp_extract(x["raw"], r"^([\p{L}_.-]+[=:])[\"'<\[{(]*[^=:\s]{4}", 1))
+    rows, names = _with(rows, names, body=body)
+    rows, names = _with(rows, names, free=lambda x: F.regexp_replace(x["body"], r"[^\p{L}\p{N}]+$", ""))
+    rows, names = _with(rows, names, words=words, instance=instance, place=place)
+    rows, names = _with(rows, names, starts=lambda x: _below(base, x["place"]["end"]))
+    return _let(_running(F.transform(base, lambda s: s["end"]), F.greatest), made)
+
+
+def discover(scanned: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, strong: float = STRONG, rounds: int = ROUNDS) -> DataFrame:
+    """(t1, t2, added): spans per different text that context patterns add.
+
+    Patterns, instances and rows that many edges share are joined by broadcast.
+    """
+    texts = scanned.where(F.size("tokens") > 0).select("t1", "t2", "base", "tokens").dropDuplicates(["t1", "t2"])
+    seen = texts.select("t1", "t2", F.explode(_occurrences(F.col("base"), F.col("tokens"))).alias("o")).select("t1", "t2", "o.*")
     # a token inside a base span that starts in an earlier token is no occurrence
-    seen = seen.where("k IS NOT NULL OR NOT covered")
-    seen = common.written(seen.withColumn("pattern", F.concat_ws(" ", "context")).drop("context"), "pii-seen")
+    seen = seen.where("instance <> '' AND (k IS NOT NULL OR NOT covered)")
+    seen = common.written(seen.select("t1", "t2", "start", "end", "instance", "k", "covered", F.explode("patterns").alias("pattern")), "pii-seen")
     edges = common.written(seen.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "pii-edges")
-    known = edges.where("k IS NOT NULL").groupBy("instance").agg(F.min("k").alias("kind"))
-    accepted = None
+    hot = {(df, key): common.hot_keys(d, [key]) for df, d in (("edges", edges), ("seen", seen)) for key in ("pattern", "instance")}
+    known = common.written(edges.where("k IS NOT NULL").groupBy("instance").agg(F.min("k").alias("kind")), "pii-known")
+    accepted, size = None, known.count()
     for _ in range(rounds):
-        graph = edges.select("pattern", "instance").join(known, "instance", "left")
+        graph = common.join_few(edges.select("pattern", "instance"), known, ["instance"], hot=hot["edges", "instance"])
         counts = graph.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
         total = counts.groupBy("pattern").agg(F.sum("n").alias("total"), F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind"))).alias("best"))
-        accepted = total.where(F.col("best.n") >= support).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.n") / F.col("total")).alias("score")).where(F.col("score") >= confidence)
+        least = F.when(F.startswith("pattern", F.lit("2 ")), F.lit(confidence)).otherwise(F.lit(strong))
+        accepted = total.where(F.col("best.n") >= support).select("pattern", F.col("best.kind").alias("kind"), (F.col("best.n") / F.col("total")).alias("score")).where(F.col("score") >= least)
         accepted = common.written(accepted, "pii-patterns")
         miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
-        found = edges.drop("k").join(accepted, "pattern").where(_plausible(F.col("instance"), F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"))
+        met = common.join_few(edges.drop("k"), accepted, ["pattern"], "inner", hot=hot["edges", "pattern"])
+        found = met.where(_plausible(F.col("instance"), F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("score"))
         found = found.where(F.col("score") >= confidence).groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b")).select("instance", F.col("b.kind").alias("kind"))
         known = common.written(known.union(found.join(known, "instance", "left_anti")), "pii-known")
-    new = seen.where("NOT covered").join(accepted.withColumnRenamed("kind", "pk"), "pattern").join(known, "instance").where("pk = kind")
+        if size == (size := known.count()):
+            break
+    new = common.join_few(seen.where("NOT covered"), accepted.withColumnRenamed("kind", "pk").drop("score"), ["pattern"], "inner", hot=hot["seen", "pattern"])
+    new = common.join_few(new, known, ["instance"], "inner", hot=hot["seen", "instance"]).where("pk = kind")
     span = F.struct(F.col("start"), F.col("kind").alias("k"), F.col("end"))
     return new.groupBy("t1", "t2").agg(F.collect_set(span).alias("added"))
 
 
 def _told(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["k"] + 1), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
 
 def _with_added(scanned: DataFrame) -> DataFrame:
-    # one added list per text; many rows may share a text, so that side stays whole
-    return scanned.join(discover(scanned), ["t1", "t2"], "left").withColumn("all", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,end:int>>")))))
+    added = common.written(discover(scanned), "pii-added")
+    rows = common.join_few(scanned.drop("tokens"), added, ["t1", "t2"])
+    return rows.withColumn("all", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(SPANS)))))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, spans for every row.
+    """doc_id, counts of base spans by kind, base_sha256, spans, n_spans (base and
+    added ones) and n_added for every row.
 
     Null texts count as empty: no spans, the digest of the empty string. Equal
-    texts get equal spans. Offsets are code points, ends exclusive.
+    texts get equal spans. Offsets are code points, ends exclusive. Added spans
+    are of the four kinds, or secrets.
     """
     out = _with_added(scan(docs, ["doc_id"]))
 
@@ -214,7 +304,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
     counts = [count(k) for k in range(len(KINDS))]
-    return out.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"), (F.size("all") - F.size("base")).cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -225,7 +315,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     spans = _with_added(scan(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in columns])), ["_row"])).select("_row", "all")
-    names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    names = F.array(*[F.lit(f"<{k.upper()}>") for k in ALL_KINDS])
     text = F.col("_row")["text"]
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
