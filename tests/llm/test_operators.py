@@ -20,7 +20,7 @@ def table(df):
     return [tuple(r) for r in df.collect()]
 
 
-def counted(rows):
+def counted(rows=()):
     return collections.Counter(rows)
 
 
@@ -482,14 +482,14 @@ def test_media_of_an_empty_table(spark):
 # ---- urls ----------------------------------------------------------------------
 
 
-def plain_judge(url):
+def plain_judge(url, rules=url_filter.RULES):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
         host = re.match("[^/?#]*", rest)[0]
         path = re.match("[^?#]*", rest[len(host) :])[0]
         host = "".join(c.lower() if c.isascii() else c for c in host)
-    fits = [(h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     rule = max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
     return host, path, *rule
 
@@ -503,10 +503,19 @@ def test_urls_equal_brute_force(spark):
     assert counted(table(out)) == counted((i, *plain_judge(u)) for i, u, _ in rows)
 
 
-def test_long_lists_take_the_join(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "MAX_BITS", 8)
-    out = url_filter.judge(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"))
-    assert counted(table(out)) == counted((i, *plain_judge(u)) for i, u in enumerate(URLS))
+def test_long_lists_are_cut_into_slices(spark):
+    """The same rows, repeated ones too, however many slices the lists need."""
+    rules = url_filter.RULES + [("block" if i % 2 else "allow", f"site{i}.org", "/" if i % 3 else "/en/") for i in range(60)]
+    urls = URLS + [f"https://www.site{i % 80}.org/{'en/' * (i % 2)}x" for i in range(300)]
+    rows = [(i, u) for i, u in enumerate(urls)] + [(3, URLS[3])] * 2 + [(None, None)] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    want = counted((i, *plain_judge(u, rules)) for i, u in rows)
+    one = url_filter.judge(df, rules)
+    assert counted(table(one)) == want
+    assert counted(table(url_filter.judge(df, rules, max_bits=512))) == want
+    table_ = spark.createDataFrame(rules, "verdict string, host string, path string")
+    assert counted(table(url_filter.judge(df, table_))) == want
+    assert {r["verdict"] for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 
 def test_cascade_is_exact_over_its_universe(spark):
@@ -514,10 +523,11 @@ def test_cascade_is_exact_over_its_universe(spark):
 
     universe = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("hash(key) % 9 = 0")
-    c = url_filter.Cascade(listed, universe, rates=(0.2, 0.5))
-    assert len(c.levels) > 2
-    got = {r[0] for r in universe.where(c.member(F.col("key"))).collect()}
-    assert got == {r[0] for r in listed.collect()}
+    for rate in (0.2, None):
+        c = url_filter.cascades({"a": listed, "none": listed.limit(0)}, universe, 4000, rate=rate)
+        assert len(c["a"].levels) > 2 or rate is None
+        got = {r[0] for r in universe.where(c["a"].member(F.col("key"))).collect()}
+        assert got == {r[0] for r in listed.collect()} and universe.where(c["none"].member(F.col("key"))).isEmpty()
 
 
 def test_urls_of_an_empty_table(spark):
@@ -545,6 +555,50 @@ def test_shards_are_even_and_groups_together(spark, docs):
     assert copies["shard"].nunique() == 1
 
 
+def least_cut(sizes, n_shards):
+    """Fewest links between shards over all even assignments (brute force)."""
+    n, best = sum(sizes), [1 << 60]
+    most, rest = -(-n // n_shards), n % n_shards or n_shards
+
+    def ways(size, room):
+        if not room:
+            if not size:
+                yield ()
+            return
+        for k in range(min(size, room[0]) + 1):
+            for more in ways(size - k, room[1:]):
+                yield (k, *more)
+
+    def place(i, room, cut):
+        if cut >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = cut
+            return
+        for way in ways(sizes[i], room):
+            together = sum(k * (k - 1) // 2 for k in way)
+            place(i + 1, tuple(a - k for a, k in zip(room, way, strict=True)), cut + sizes[i] * (sizes[i] - 1) // 2 - together)
+
+    place(0, tuple([most] * rest + [most - 1] * (n_shards - rest)), 0)
+    return best[0]
+
+
+@pytest.mark.parametrize(("sizes", "n_shards", "over"), [((3, 3, 2, 1, 1, 1, 1), 3, 0), ((6, 2, 2, 1, 1), 2, 8), ((5, 4, 1, 1, 1, 1, 1, 1), 3, 0), ((1, 1, 1), 2, 0)])
+def test_cut_links_against_the_optimum(spark, sizes, n_shards, over):
+    """The optimum where unlinked rows leave room; where they are few, exchanges run out."""
+    texts = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sharding.shard_documents(df, n_shards).toPandas()
+    for r in out.itertuples():
+        mine = out[out.text_crc32 == r.text_crc32]
+        assert r.links == len(mine) - 1 and r.cut_links == (mine["shard"] != r.shard).sum()
+    counts = out.groupby("shard").size().reindex(range(n_shards), fill_value=0)
+    assert counts.max() - counts.min() <= 1
+    dealt = sharding.shard_documents(df, n_shards, rounds=0).toPandas()
+    cut, before, best = out.cut_links.sum() // 2, dealt.cut_links.sum() // 2, least_cut(sizes, n_shards)
+    assert best <= cut <= before and cut <= best + over
+
+
 def test_grants_keep_counts():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -606,6 +660,130 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert len(pii.find_pii(spark.createDataFrame(more, "doc_id long, text string")).collect()) == len(more)
 
 
+NUMBER, WHOLE = r"^[+(]*[0-9][().0-9-]*$", r"^[0-9]+([.][0-9]+){3}$"
+
+
+def plain_bootstrap(texts, rounds=3):
+    """Spans that the bootstrap adds, by text: plain loops over the same graph."""
+    import regex
+
+    of = lambda p: regex.compile(p, regex.ASCII)
+    token, loose = of(pii.TOKEN), {k: of(p) for k, p in pii.LOOSE.items()}
+    shape = lambda t: regex.sub(r"\p{L}+", "a", regex.sub("[0-9]+", "9", t.lower()))
+    split = lambda t: [w for w in regex.split(r"\s+", t.lower(), flags=regex.ASCII) if w]
+    seen = []
+    for text in dict.fromkeys(t or "" for t in texts):
+        base, found = plain_spans(text), list(token.finditer(text))
+        tokens = ["^", "^", *(shape(m[0]) for m in found)]
+        cuts = [0, *(x for m in found for x in m.span()), len(text)]
+        between = [split(text[a:b]) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        for i, m in enumerate(found):
+            flat = [tokens[i], *(between[i - 1] if i else []), tokens[i + 1], *between[i]] if i else ["^", "^", *between[0]]
+            words = flat[-2:]
+            after = between[i + 1][0] if between[i + 1] else shape(found[i + 1][0]) if i + 1 < len(found) else "$"
+            own = next((s for s in base if m.start() <= s[0] < m.end()), None)
+            follows = any(m.end() <= s[0] < m.end() + len(m[1]) for s in base)
+            raw = m[0]
+            if regex.match(NUMBER, raw) and not regex.match(WHOLE, raw) and not follows and sum(c in "0123456789" for c in m[0] + m[1]) <= 19:
+                raw = m[0] + m[1]
+            label = regex.match(r"^([\p{L}_.-]+[=:])[\"'<\[{(]*[^=:\s]{4}", raw)
+            if label:
+                words = [words[1], label[1].lower()]
+            body = raw[len(label[1]) if label else 0 :]
+            free = regex.sub(r"""^[<"'\[{]+""", "", body)
+            start = m.start() + len(raw) - len(free)
+            free = regex.sub(r"[^\p{L}\p{N}]+$", "", free)
+            a, z = (own[0], own[2]) if own else (start, start + len(free))
+            instance = text[a:z].lower()
+            kind = own[1] if own else 4 if regex.match(pii.SECRET, instance) and words[1][-1] in "=:" else None
+            covered = any(s[0] < z and s[2] > a for s in base)
+            if instance and (kind is not None or not covered):
+                seen.append((text, a, z, instance, kind, covered, (f"2 {words[0]} {words[1]}", f"1 {words[1]}", f"r {after}")))
+    members, known = collections.defaultdict(set), {}
+    for _, _, _, instance, kind, _, patterns in seen:
+        for p in patterns:
+            members[p].add(instance)
+        if kind is not None:
+            known[instance] = min(known.get(instance, 9), kind)
+
+    def could(instance, kind):
+        name, n = pii.ALL_KINDS[kind], sum(c in "0123456789" for c in instance)
+        return bool(loose[name].search(instance)) and (name not in pii.DIGITS or pii.DIGITS[name][0] <= n <= pii.DIGITS[name][1])
+
+    accepted = {}
+    for _ in range(rounds):
+        accepted = {}
+        for p, who in members.items():
+            votes = collections.Counter(known[i] for i in who if i in known)
+            if votes:
+                n, kind = max((n, k) for k, n in votes.items())
+                if n >= pii.SUPPORT and n / len(who) >= (pii.CONFIDENCE if p[0] == "2" else pii.STRONG):
+                    accepted[p] = kind, n / len(who)
+        miss = collections.defaultdict(lambda: 1.0)
+        for p, (kind, score) in accepted.items():
+            for i in members[p]:
+                if could(i, kind):
+                    miss[i, kind] *= max(1 - score, 1e-9)
+        new = {}
+        for (i, kind), x in miss.items():
+            if i not in known and 1 - x >= pii.CONFIDENCE - 1e-12:
+                new[i] = max(new.get(i, (0, 0)), (round(1 - x, 12), kind))
+        known |= {i: kind for i, (_, kind) in new.items()}
+        if not new:
+            break
+    out = collections.defaultdict(set)
+    for text, a, z, instance, _, covered, patterns in seen:
+        for p in patterns:
+            if not covered and p in accepted and known.get(instance) == accepted[p][0]:
+                out[text].add((a, accepted[p][0], z))
+    return out
+
+
+def plain_told(text, added):
+    spans = sorted({(s, k, e) for s, k, e, _ in plain_spans(text)} | added.get(text, set()))
+    return ",".join(f"{pii.ALL_KINDS[k]}:{s}:{e}" for s, k, e in spans)
+
+
+def bootstrap_texts(seed=12):
+    import random
+
+    rng = random.Random(seed)
+    stock = ["the", "of", "Üben", "line", "call", "no:", "ref", "is", "a,", "and", "mail:", "ip", "token =", "key:"]
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    forms = [lambda: f"+44 20 {digits(4)} {digits(4)}", lambda: f"020 {digits(4)} {digits(4)}", lambda: f"u{digits(2)}@h.example", lambda: f"u{digits(2)}@host", lambda: f"10.{rng.randint(0, 300)}.1.{rng.randint(0, 9)}",
+             lambda: f'"{"".join(rng.choices("0123456789abcdef", k=40))}"', lambda: f"xy-{digits(24)}.", lambda: digits(rng.randint(1, 17)), lambda: f"key={digits(6)}abcdefghijk{digits(3)}", lambda: f"api_key:{''.join(rng.choices('0123456789abcdef', k=32))}", lambda: "4111 1111 1111 1111", lambda: "4111111111111111 5500005555555559", lambda: f"({digits(2)})"]
+    few = [f() for f in forms for _ in range(4)]
+    out = []
+    for _ in range(260):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            words += [rng.choice(stock) for _ in range(rng.randint(0, 3))] + [rng.choice(few) if rng.random() < 0.6 else rng.choice(forms)()]
+        out.append(rng.choice((" ", "  ", "\n")).join(words) + rng.choice(("", " end", " 😀 x")))
+    return [*out, *out[:5], None, ""]
+
+
+def test_bootstrap_equals_plain_loops(spark):
+    texts = bootstrap_texts()
+    added = plain_bootstrap(texts)
+    want = counted((i, plain_told(t or "", added)) for i, t in enumerate(texts))
+    assert sum(map(len, added.values())) > 50
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert counted((r["doc_id"], r["spans"]) for r in got) == want
+    for r in got:
+        n = len(plain_spans(texts[r["doc_id"]] or ""))
+        assert r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) == n + r["n_added"]
+
+
+def test_very_long_texts_of_numbers(spark):
+    """Tens of thousands of matches in one text take about n log n steps."""
+    import time
+
+    texts = ["10.0.0.1 " * 30_000, "a@b.c " * 20_000, "7 " * 60_000, "x" * 300_000 + " 1", "number " + "5 " * 9 + "y" * 200 + " 12345678"]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["n_ip"] == 30_000 and got[1]["n_email"] == 20_000 and time.time() - began < 90
+
+
 def test_bootstrap_adds_an_instance_of_an_accepted_pattern(spark):
     texts = [f"my card code is {n} ok" for n in ("4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4111111111111112")]
     got = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
@@ -667,23 +845,97 @@ def test_leaks_are_found_and_clean_rows_stay(spark, docs):
     assert decontam.drop_leaks(rows, bench).count() == rows.count() - 11
 
 
+def plain_leaks(docs, items, threshold=0.6, overlap=0.6):
+    """(doc_id, item_id, passage) by full BM25 scoring of every passage and item."""
+    items = list(dict.fromkeys((i, t) for i, t in items if t is not None))
+    words = {t: decontam.words_of(t) for _, t in items}
+    n, mean = len(items), max(1.0, sum(len(words[t]) for _, t in items) / max(1, len(items)))
+    df = collections.Counter(w for _, t in items for w in set(words[t]))
+    out = []
+    for item, t in items:
+        tf, norm = collections.Counter(words[t]), 1.2 * (1 - 0.75 + 0.75 * len(words[t]) / mean)
+        weight = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + norm) for w, c in tf.items()}
+        step = max(64, 1 << (len(words[t]) - 1).bit_length()) if words[t] else 64
+        for doc, text in docs:
+            w, best = decontam.words_of(text), None
+            for lo in range(0, len(w), step):
+                have = set(w[lo : lo + 2 * step])
+                score = sum(v for x, v in weight.items() if x in have) / sum(weight.values()) if weight else 0
+                if score < threshold - 1e-9:
+                    continue
+                around = w[max(0, lo - len(words[t])) : lo + 2 * step + len(words[t])]
+                shares = []
+                for part in decontam.halves(t):
+                    k = min(5, len(part))
+                    mine = {tuple(part[i : i + k]) for i in range(len(part) - k + 1)} if k else set()
+                    near = {tuple(around[i : i + k]) for i in range(len(around) - k + 1)}
+                    shares.append(len(mine & near) / len(mine) if mine else 1.0)
+                if min(shares) >= overlap and (best is None or score > best[0] + 1e-12):
+                    best = score, lo
+            if best:
+                out.append((doc, item, best[1]))
+    return counted(out)
+
+
+def test_leaks_equal_full_scoring(spark, monkeypatch):
+    """The query as a whole against brute force, in one part, in several, and in slices."""
+    import random
+
+    rng = random.Random(31)
+    stock = [f"w{i}" for i in range(150)]
+    items = [(i, f"{data.words(rng, rng.randint(2, 40), stock)}. {data.words(rng, rng.randint(1, 12), stock)}.") for i in range(60)]
+    items += [(60, None), (61, ""), (None, items[0][1]), items[3], (3, "one more text of that id. yes"), (63, data.words(rng, 200, stock)), (64, "x")]
+    docs_ = []
+    for i in range(150):
+        parts = [data.words(rng, rng.randint(0, 120), stock)]
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice([t for _, t in items if t]).split()
+            for _ in range(rng.choice((0, 0, 1, 3, 9))):
+                w[rng.randrange(len(w))] = "other"
+            parts += [" ".join(w), data.words(rng, rng.randint(0, 90), stock)]
+        docs_.append((i, " ".join(parts)))
+    docs_ += [(900, None), (901, ""), docs_[2], (902, docs_[2][1]), (None, docs_[4][1]), (903, " ".join(t for _, t in docs_[:40]))]
+    want = plain_leaks(docs_, items)
+    assert len(want) > 100
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs_], "doc_id long, text string, leaks int, _text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = lambda d: counted((r["doc_id"], x["item_id"], x["passage"]) for r in d.collect() for x in r["leaks"])
+    one = decontam.contamination(df, bench)
+    assert one.columns == ["doc_id", "text", "_text", "leaks"] and got(one) == want
+    assert counted((r["doc_id"], r["item_id"], r["passage"]) for r in decontam.find_leaks(df, bench).collect()) == want
+    several = decontam.contamination(df, bench, part_bytes=2000)
+    assert several.columns == one.columns and several.count() == len(docs_) and got(several) == want
+    monkeypatch.setattr(decontam, "AT_ONCE", 256)
+    index = decontam.Index([x for x in items if x[1]], collections.Counter(w for _, t in items if t for w in set(decontam.words_of(t))), 66, 30.0)
+    words = [decontam.words_of(t) for _, t in docs_]
+    sliced = [sorted(x) for x in index.search(words)]
+    monkeypatch.setattr(decontam, "AT_ONCE", 1 << 18)
+    assert sliced == [sorted(x) for x in index.search(words)]
+
+
 def test_search_equals_full_scoring():
+    """All items at the threshold, while most postings are never read."""
     import random
 
     rng = random.Random(2)
-    stock = [f"w{i}" for i in range(60)]
-    items = [(i, data.words(rng, rng.randint(1, 30), stock)) for i in range(70)]
+    stock = [f"w{i}" for i in range(3000)]
+    items = [(i, data.words(rng, rng.randint(1, 30), stock[: 3000 if i % 4 else 60])) for i in range(200)]
     df = collections.Counter(w for _, t in items for w in set(t.split()))
     index = decontam.Index(items, dict(df), len(items), 15.0, 0.5)
-    texts = [data.words(rng, rng.randint(0, 400), stock).split() for _ in range(20)]
+    texts = [data.words(rng, rng.randint(0, 400), stock[: 3000 if i % 2 else 80]).split() for i in range(40)] + [" ".join(t for _, t in items).split()]
     for words, hits in zip(texts, index.search(texts), strict=True):
-        want = set()
+        want = {}
         for lo in range(0, max(1, len(words)), index.step):
             have = {index.terms.get(w) for w in words[lo : lo + 2 * index.step]}
             for i, weights in enumerate(index.weights):
-                if sum(v for t, v in weights.items() if t in have) >= 0.5 - 1e-9:
-                    want.add((i, lo))
-        assert {(i, lo) for i, lo, _ in hits} == want
+                score = sum(v for t, v in weights.items() if t in have)
+                if score >= 0.5 - 1e-9:
+                    want[i, lo] = pytest.approx(score)
+        assert {(i, lo): s for i, lo, s in hits} == want and len(hits) == len(want)
+    assert index.stats["read"] < index.stats["postings"]
+    index.stats = dict.fromkeys(index.stats, 0)
+    index.search(texts[1:40:2])  # texts that hold no item
+    assert index.stats["read"] < index.stats["postings"] / 20 and index.stats["searched"] < index.stats["passages"]
 
 
 def test_decontamination_of_empty_tables(spark, docs):
@@ -717,6 +969,50 @@ def test_chain_separates_held_out_rows(spark):
     assert np.mean([got[r[0]] == bool(r[3]) for r in rows[600:]]) > 0.97
 
 
+def plain_features(text):
+    out = set()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out |= {zlib.crc32(x.encode()) % (1 << 18) for x in {w, *(w[:n] + "*" for n in (4, 5, 6, 7, 8) if len(w) >= n)}}
+    return sorted(out)
+
+
+def plain_scores(text, chain):
+    """Probabilities of the links, one after another (brute force)."""
+    seen = []
+    for m in chain.links:
+        z = sum(float(m.w[i]) for i in plain_features(text)) + sum(float(u) * p for u, p in zip(m.u, seen, strict=False)) + float(m.u[-1])
+        seen.append(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+    return seen
+
+
+def test_chain_equals_plain_scoring_and_fitting(spark, docs):
+    """The query's rows by a plain scorer; its models by one fit after another, on
+    labels of which some clash."""
+    from pyspark.sql import functions as F
+
+    rows = toxic_rows(400, 8)
+    df = docs.select("doc_id", "text").where("doc_id > 60 OR doc_id IS NULL").withColumn("doc_id", F.col("doc_id") + 10_000).union(spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string"))
+    labels = [(r[0], r[2], r[3]) for r in rows[:300]] + [(i, 0, 0) for i in range(40)] + [(i, 1, 1) for i in range(40, 60)]
+    labels_df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(4)
+    chain = toxicity.train(df, labels_df)
+    known = {}
+    for i, q, t in labels:
+        a, b = known.get(i, (0, 0))
+        known[i] = max(a, q), max(b, t)
+    order = [r[0] for r in spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    xs = [np.array(plain_features(rows[i][1]), np.int32) for i in order]
+    plain = toxicity.fit_chain(xs, np.array([known[i] for i in order], float))
+    assert plain.threshold == pytest.approx(chain.threshold, abs=1e-6)
+    assert all(np.allclose(a.w, b.w, atol=1e-5) and np.allclose(a.u, b.u, atol=1e-5) for a, b in zip(plain.links, chain.links, strict=True))
+    texts = {(r["doc_id"], r["text"]) for r in df.collect()}
+    want = counted()
+    for r in df.collect():
+        q, t = plain_scores(r["text"], chain)
+        want[r["doc_id"], round(q, 5), round(t, 5), t > chain.threshold] += 1
+    got = counted((r["doc_id"], round(r["p_quality"], 5), round(r["p_toxic"], 5), r["toxic"]) for r in toxicity.flag_toxic(df, labels_df).collect())
+    assert texts and got == want
+
+
 def test_toxicity_on_awkward_rows(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = toxicity.drop_toxic(docs, none)
