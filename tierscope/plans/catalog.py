@@ -21,9 +21,11 @@ from tierscope.plans.session import cut, global_rank, table
 N_QUERIES, DIMS, K, DEGREE, SLOTS, GROUP = 50, 64, 10, 10, 16, 25
 FRACTIONS = {"f00": 0.0, "f25": 0.25, "f50": 0.5, "f100": 1.0}
 SEEDS = [101, 102, 103, 104, 105]
-SEARCH = search.SearchParams(L=20, W=4, k=K, io_limit=9)
+SEARCH = search.SearchParams(L=50, W=4, k=K)
+#: For the search with a limit of expansions.
+LIMITED = search.SearchParams(L=20, W=4, k=K, io_limit=9)
 CURVE = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
-BEAMS = [(10, 4), (20, 4), (20, 2)]
+BEAMS = [(20, 4), (50, 4), (50, 8)]
 NAMED = {"hub": {"CODES": [0, 1, 2], "ADJ": [0, 1], "VEC": [0]}, "codes": {"CODES": [0, 3, 5]}, "mixed": {"CODES": [1, 2], "ADJ": [2, 4], "VEC": [1]}}
 
 
@@ -264,11 +266,11 @@ Q: dict[str, Callable[[Fixture], DataFrame]] = {
     "absence_ceiling_per_query": lambda f: metrics.absence_ceiling(f.truth, f.pred("sequential", FRACTIONS)),
     "absence_ceiling_curve": lambda f: metrics.absence_ceiling(f.truth, f.pred("sequential", CURVE)).groupBy("mask_id").agg(F.avg("ceiling").alias("mean_ceiling")),
     "fallback_seed_per_mask": lambda f: search.fallback_seeds(f.pred("random_101", FRACTIONS), f.hops),
-    "masked_search_iolimited": lambda f: f.search(f.pred("random_101", FRACTIONS))[0],
+    "masked_search_iolimited": lambda f: f.search(f.pred("random_101", FRACTIONS), LIMITED)[0],
     "masked_search_stats": lambda f: f.search(f.pred("random_101", FRACTIONS))[1],
     "masked_search_expanded": lambda f: f.search(f.pred("random_101", FRACTIONS))[2],
     "masked_search_bsp": lambda f: f.search(f.pred("random_101", FRACTIONS), strategy="bsp")[0],
-    "masked_search_full": lambda f: f.search(f.pred("random_101", FRACTIONS), search.SearchParams(50, 4, K))[0],
+    "masked_search_full": lambda f: f.search(f.pred("random_101", FRACTIONS))[0],
     "masked_search_throughput": lambda f: _all_nodes(f),
     "traversal_frequency": lambda f: search.visit_counts(f.nodes, f.search(f.pred("sequential", {"all": 1.0}))[2]),
     "never_visited_fraction": lambda f: search.visit_counts(f.nodes, f.search(f.pred("sequential", {"all": 1.0}))[2]).agg(F.avg((F.col("visits") == 0).cast("int")).alias("never_visited")),
@@ -276,7 +278,7 @@ Q: dict[str, Callable[[Fixture], DataFrame]] = {
     "adc_exact_agreement": lambda f: metrics.agreement(f.adc_hits, f.truth, f.truth),
     "run_records": lambda f: f.records(f.pred("random_101", FRACTIONS)).drop("per_query"),
     "tier_contributions": lambda f: curves.tier_contributions(f.records(_tiers(f))),
-    "beam_sweep_broken_nav": lambda f: reduce(DataFrame.unionByName, [curves.broken_navigation(f.records(f.pred("random_101", {"f50": 0.5}), search.SearchParams(b, w, K, 9))).select(F.lit(b).alias("L"), F.lit(w).alias("W"), "mean_recall", "mean_ceiling", "broken_navigation", "mean_hops") for b, w in BEAMS]),
+    "beam_sweep_broken_nav": lambda f: reduce(DataFrame.unionByName, [curves.broken_navigation(f.records(f.pred("random_101", {"f50": 0.5}), search.SearchParams(b, w, K))).select(F.lit(b).alias("L"), F.lit(w).alias("W"), "mean_recall", "mean_ceiling", "broken_navigation", "mean_hops") for b, w in BEAMS]),
     "ceiling_curve": lambda f: f.sweep_points.where(~F.col("order").startswith("random_")).select("order", "bytes_total", "mean_ceiling"),
     "random_avg_ceiling_curve": lambda f: f.curve.where("order = 'random_avg'").select("bytes_total", "mean_ceiling"),
     "restoration_curve": lambda f: f.curve.where("order <> 'random_avg'").select("order", "bytes_total", "mean_recall"),

@@ -116,7 +116,7 @@ def _records(f: Fixture) -> DataFrame:
     """A record a mask, with its groups as a map, as JSON and back."""
     folder = _place(f, "records")
     groups = F.create_map(*[x for t in masks.TIERS for x in (F.lit(t), F.col(t.lower()))])
-    f.bytes("in_degree", FRACTIONS).select("mask_id", "total", groups.alias("tiers")).repartition(4, "mask_id").write.json(folder)
+    f.bytes("in_degree", FRACTIONS).select("mask_id", "total", groups.alias("tiers"), F.col("mask_id").alias("run")).repartition("run").write.partitionBy("run").json(folder)
     rows = formats.read_records(f.spark, folder, "mask_id string, total double, tiers map<string,double>")
     return rows.select("mask_id", "total", F.explode("tiers").alias("tier", "bytes"))
 

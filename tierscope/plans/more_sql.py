@@ -69,19 +69,19 @@ def oracle_sql() -> dict[str, str]:
         "source_index_lookup": "SELECT src AS node_id, count(*) AS degree, min(dst) FILTER (pos = 0) AS first FROM edges GROUP BY 1",
         "source_entry_points": "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, node_id, round(vec[1]::FLOAT::DOUBLE, 6) AS x0 FROM label_med",
         "source_curve_csv": f"SELECT 'sequential' AS \"order\", bytes_total, round(r, 6) AS mean_recall, round(r, 6) AS normalized_recall FROM (SELECT m AS mask_id, coalesce((SELECT sum(codes_bytes + adj_bytes_actual + vec_bytes) FROM b_sequential WHERE group_id < ceil(f * n)), 0)::DOUBLE AS bytes_total FROM n_groups, {_values([(m, x) for m, x in C.CURVE.items()], 'm, f')}) JOIN (SELECT mask_id, avg(codes_ok::INT) AS r FROM truth JOIN ({pred('sequential', C.CURVE)}) USING (node_id) GROUP BY 1) USING (mask_id)",
-        "expand_mask": f"SELECT * FROM {_values(named, 'mask_id, tier, group_id')}",
+        "expand_mask": f"SELECT mask_id, tier, group_id::BIGINT AS group_id FROM {_values(named, 'mask_id, tier, group_id')}",
         "stream_windowed_quality": "SELECT start, round(recall, 6) AS recall, n FROM win",
         "arrivals_poisson": "SELECT node_id AS query_id, round(sum(gap) OVER (ORDER BY node_id), 6) AS at FROM (SELECT node_id, -ln((('0x' || substr(md5(concat('3:', node_id::VARCHAR)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296) / 20 AS gap FROM base)",
-        "checkpoint_objects": f"SELECT tier, group_id, epoch, rows, concat('epoch=', epoch, '/tier=', tier, '/group_id=', group_id) AS path FROM (SELECT unnest(['ADJ', 'CODES']) AS tier, group_id, 1 AS epoch, rows FROM (SELECT group_id, count(*) AS rows {checkpoint} GROUP BY 1) UNION ALL SELECT 'ADJ', group_id, 2, count(*) {checkpoint} WHERE group_id % 3 = 0 GROUP BY 2)",
+        "checkpoint_objects": f"SELECT tier, group_id, epoch::BIGINT AS epoch, rows, concat('epoch=', epoch, '/tier=', tier, '/group_id=', group_id) AS path FROM (SELECT unnest(['ADJ', 'CODES']) AS tier, group_id, 1 AS epoch, rows FROM (SELECT group_id, count(*) AS rows {checkpoint} GROUP BY 1) UNION ALL SELECT 'ADJ', group_id, 2, count(*) {checkpoint} WHERE group_id % 3 = 0 GROUP BY 2)",
         "estimator_ablation": f"SELECT 'global' AS estimator, round(avg(abs(actual - (SELECT avg(actual) FROM ({_EST})))), 6) AS mean_error FROM ({_EST}) UNION ALL SELECT 'per_query', round(avg(abs(predicted - actual)), 6) FROM ({_EST})",
     }
     out = {k: sql(v) for k, v in out.items()}
     out["report_json"] = first()["adc_exact_agreement"]
     out["source_records"] = f"SELECT mask_id, round(total, 6) AS total, unnest(['CODES', 'ADJ', 'VEC']) AS tier, unnest([codes, adj, vec]) AS bytes FROM ({first()['mask_bytes_sweep']})"
     out["source_pivots"] = sql("SELECT chunk, centroid, round(sub[1]::FLOAT::DOUBLE, 4) AS a, round(sub[2]::FLOAT::DOUBLE, 4) AS b FROM book", {"sample": sample256})
-    out["checkpoint_read"] = objects("CASE WHEN group_id % 3 = 0 THEN '+' ELSE '' END", ", CASE WHEN group_id % 3 = 0 THEN 2 ELSE 1 END AS epoch")
+    out["checkpoint_read"] = objects("CASE WHEN group_id % 3 = 0 THEN '+' ELSE '' END", ", (CASE WHEN group_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS epoch")
     out["checkpoint_read_epoch"] = objects("''", "")
-    out["restore_policies"] = sql("SELECT policy, pos, group_id, tier, bytes, round(at, 6) AS at FROM plans", _POLICIES)
+    out["restore_policies"] = sql('SELECT policy, pos, group_id, tier, bytes, round("at", 6) AS at FROM plans', _POLICIES)
     out["simulate_all_policies"] = sql("SELECT policy, t, round(bytes, 6) AS bytes, (SELECT max(i / 10) FROM (SELECT unnest(range(11)) AS i) WHERE i * b / 10 <= bytes) AS recall, round(beam * 0.1 + CASE WHEN miss = 'fetch' OR miss = 'adaptive' AND bytes / b >= 0.5 THEN (1 - least(1, bytes / b)) * 0.4 ELSE 0 END, 6) AS p99 FROM reached, whole", _POLICIES)
     out["pq_trained_codebook"] = sql("SELECT b.chunk, b.centroid, coalesce(a, round(any_value(sub)[1], 6)) AS a, coalesce(b, round(any_value(sub)[2], 6)) AS b FROM book b LEFT JOIN (SELECT chunk, centroid, round(avg(part[1]), 6) AS a, round(avg(part[2]), 6) AS b FROM moved GROUP BY 1, 2) m USING (chunk, centroid) GROUP BY ALL".replace("coalesce(b,", "coalesce(m.b,").replace("coalesce(a,", "coalesce(m.a,").replace("any_value(sub)", "sub"), _ROUND1)
     return out

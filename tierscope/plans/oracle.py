@@ -26,6 +26,8 @@ def _md5(seed: int, column: str) -> str:
     return f"md5(concat('{seed}:', {column}::VARCHAR)), {column}"
 
 
+#: Rounds that searches are unrolled to; those of the tables of sf0.01 end before.
+HOPS = 32
 CTE: dict[str, str] = {
     "emb": "SELECT vec_id, embedding::DOUBLE[] AS vec, label FROM embeddings",
     "picked": f"SELECT vec_id FROM emb ORDER BY {_md5(7, 'vec_id')} LIMIT (SELECT greatest({C.N_QUERIES}, count(*) // 40) FROM emb)",
@@ -95,8 +97,8 @@ def pred(order: str, fractions: dict[str, float], tiers=("CODES", "ADJ", "VEC"),
     return f"SELECT mask_id, node_id, {', '.join(ok)} FROM g_{order}, n_groups, {rows}"
 
 
-def beam(pred_sql: str, length: int = 20, width: int = 4, io: int | None = 9, hops: int = 9) -> dict[str, str]:
-    """CTEs of a search whose limit stops it within ``hops`` rounds: r0 .. result
+def beam(pred_sql: str, length: int = C.SEARCH.L, width: int = C.SEARCH.W, io: int | None = None, hops: int = HOPS) -> dict[str, str]:
+    """CTEs of a search that ends within ``hops`` rounds: r0 .. result
     tables ``done`` (expanded), ``hits``, ``stats``, with ``pred`` and ``start``."""
     out = {
         "pred": pred_sql,
@@ -106,7 +108,7 @@ def beam(pred_sql: str, length: int = 20, width: int = 4, io: int | None = 9, ho
     }
     for h in range(1, hops + 1):
         out[f"r{h}"] = f"SELECT *, row_number() OVER (PARTITION BY mask_id, query_id ORDER BY adc, node_id) <= {length} AND hop IS NULL AS open, count(hop) OVER (PARTITION BY mask_id, query_id) AS ios FROM s{h - 1}"
-        out[f"m{h}"] = f"SELECT mask_id, query_id, node_id, adc, CASE WHEN open AND ios < {io} AND row_number() OVER (PARTITION BY mask_id, query_id, open ORDER BY adc, node_id) <= {width} THEN {h} ELSE hop END AS hop FROM r{h}"
+        out[f"m{h}"] = f"SELECT mask_id, query_id, node_id, adc, CASE WHEN open AND {"true" if io is None else f"ios < {io}"} AND row_number() OVER (PARTITION BY mask_id, query_id, open ORDER BY adc, node_id) <= {width} THEN {h} ELSE hop END AS hop FROM r{h}"
         out[f"s{h}"] = (
             f"SELECT * FROM m{h} UNION ALL SELECT x.mask_id, x.query_id, x.dst, adc, NULL FROM (SELECT DISTINCT m.mask_id, m.query_id, e.dst FROM m{h} m JOIN pred a ON a.mask_id = m.mask_id AND a.node_id = m.node_id AND a.adj_ok "
             f"JOIN edges e ON e.src = m.node_id JOIN pred c ON c.mask_id = m.mask_id AND c.node_id = e.dst AND c.codes_ok WHERE m.hop = {h}) x "
@@ -153,6 +155,7 @@ _SWEEP = beam(_SWEEP_PRED) | {
     "best": 'SELECT arg_min("order", crossing) FILTER (NOT imp) AS baseline, min(crossing) FILTER (NOT imp) AS baseline_bytes, arg_min("order", crossing) FILTER (imp) AS importance, min(crossing) FILTER (imp) AS importance_bytes FROM split',
 }
 _RANDOM = beam(pred("random_101", C.FRACTIONS))
+_LIMITED = beam(pred("random_101", C.FRACTIONS), C.LIMITED.L, C.LIMITED.W, C.LIMITED.io_limit, 9)
 _ALL = beam(pred("sequential", {"all": 1.0}))
 _TIER = beam(" UNION ALL ".join(pred("sequential", {m: 1.0}, t) for m, t in (("codes", ("CODES",)), ("codes_adj", ("CODES", "ADJ")), ("full", ("CODES", "ADJ", "VEC")))))
 _NAMED = {t: [(m, g) for m, x in C.NAMED.items() for g in x.get(t, [])] for t in ("CODES", "ADJ", "VEC")}
@@ -174,7 +177,7 @@ _ROUND = "round({0}, 6) AS {0}"
 def _beams() -> str:
     parts = []
     for i, (b, w) in enumerate(C.BEAMS):
-        ctes = {f"{k}_{i}": v for k, v in beam(pred("random_101", {"f50": 0.5}), b, w, 9).items()}
+        ctes = {f"{k}_{i}": v for k, v in beam(pred("random_101", {"f50": 0.5}), b, w).items()}
         names = sorted((k[: -len(f"_{i}")] for k in ctes), key=len, reverse=True)
         for k, v in ctes.items():
             for n in names:
@@ -242,8 +245,9 @@ def oracle_sql() -> dict[str, str]:
     out["exact_knn_unrolled"] = out["exact_knn_top10"]
     hits = "SELECT mask_id, query_id, rank, node_id, round(dist, 6) AS dist, is_exact FROM hits"
     out |= {
-        "masked_search_iolimited": sql(hits, _RANDOM),
+        "masked_search_iolimited": sql(hits, _LIMITED),
         "masked_search_bsp": sql(hits, _RANDOM),
+        "masked_search_full": sql(hits, _RANDOM),
         "masked_search_stats": sql("SELECT mask_id, query_id, used_fallback, hops, num_expanded, miss_count, code_only_count FROM stats", _RANDOM),
         "masked_search_expanded": sql("SELECT mask_id, query_id, node_id, hop::BIGINT AS hop FROM done", _RANDOM),
         "run_records": sql(_REC, _RANDOM),
