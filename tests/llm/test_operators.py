@@ -906,9 +906,14 @@ def test_leaks_equal_full_scoring(spark, monkeypatch):
     several = decontam.contamination(df, bench, part_bytes=2000)
     assert several.columns == one.columns and several.count() == len(docs_) and got(several) == want
     monkeypatch.setattr(decontam, "AT_ONCE", 256)
-    index = decontam.Index([x for x in items if x[1]], collections.Counter(w for _, t in items if t for w in set(decontam.words_of(t))), 66, 30.0)
+    index_items = lambda rows: [x for x in rows if x[1]]
+    index_df = lambda rows: collections.Counter(w for _, t in rows if t for w in set(decontam.words_of(t)))
+    index = decontam.Index(index_items(items), index_df(items), 66, 30.0)
     words = [decontam.words_of(t) for _, t in docs_]
     sliced = [sorted(x) for x in index.search(words)]
+    monkeypatch.setattr(decontam, "CELLS", 8)  # no table, a few sums at once
+    index = decontam.Index(index_items(items), index_df(items), 66, 30.0)
+    assert sliced == [sorted(x) for x in index.search(words)]
     monkeypatch.setattr(decontam, "AT_ONCE", 1 << 18)
     assert sliced == [sorted(x) for x in index.search(words)]
 

@@ -45,9 +45,9 @@ from tierscope.llm import common
 
 #: BM25 constants; least step of passages in words; least score; least share of
 #: the 5-grams of question and answer; items per block; bytes of items per pass;
-#: words that are searched at once.
+#: words that are searched at once; sums that are made at once.
 K1, B, STEP = 1.2, 0.75, 64
-SCORE, OVERLAP, GRAM, BLOCK, PART_BYTES, AT_ONCE = 0.6, 0.6, 5, 4, 16 << 20, 1 << 18
+SCORE, OVERLAP, GRAM, BLOCK, PART_BYTES, AT_ONCE, CELLS = 0.6, 0.6, 5, 4, 16 << 20, 1 << 17, 1 << 20
 HIT = "item_id: bigint, passage: bigint, score: double, question_overlap: double, answer_overlap: double"
 _WORD = re.compile(r"\w+")
 
@@ -118,10 +118,17 @@ class Index:
         first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
         self.block, self.block_max = block[first], np.maximum.reduceat(self.gain, first) if len(first) else np.zeros(0)
         self.block_ptr = np.searchsorted(self.block, np.arange(len(self.terms) + 1) * max(1, self.n_blocks))
+        # the same as a table, if it isn't large: looked up faster
+        self.table = None
+        if len(self.terms) * self.n_blocks <= 4 * CELLS:
+            self.table = np.zeros(len(self.terms) * self.n_blocks)
+            self.table[self.block] = self.block_max
         self.stats = {"postings": 0, "read": 0, "passages": 0, "searched": 0}
 
     def _block_max(self, term: np.ndarray, block: np.ndarray) -> np.ndarray:
         key = term * self.n_blocks + block
+        if self.table is not None:
+            return self.table[key]
         at = np.minimum(np.searchsorted(self.block, key), len(self.block) - 1)
         return np.where(self.block[at] == key, self.block_max[at], 0.0)
 
@@ -139,21 +146,29 @@ class Index:
         light = np.repeat(np.add.reduceat(np.where(heavy, 0, self.top[term]), start), size)
         at, t = np.flatnonzero(heavy), term[heavy]
         n = self.block_ptr[t + 1] - self.block_ptr[t]
-        ends = np.cumsum(n)
-        if not len(ends) or not ends[-1]:
-            return none
-        row = np.repeat(self.block_ptr[t] - ends + n, n) + np.arange(ends[-1])
-        at, t = np.repeat(at, n), np.repeat(t, n)
-        pairs, which = np.unique(passage[at] * self.n_blocks + self.block[row] - t * self.n_blocks, return_inverse=True)
-        bound = np.bincount(which, self.block_max[row], len(pairs))
-        rest = np.zeros(len(pairs))
-        rest[which] = light[at]
-        pairs = pairs[bound + rest >= least]
-        if not len(pairs):
+        done = np.r_[0, np.cumsum(n)]
+        # sums by passage and block, for as many passages at once as have a bounded
+        # number of sums and of terms in blocks
+        local = np.searchsorted(start, at, "right") - 1
+        edge = np.searchsorted(local, np.arange(len(start) + 1))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        lo = 0
+        while lo < len(start):
+            hi = int(np.searchsorted(done[edge], done[edge[lo]] + CELLS, "right")) - 1
+            hi = max(lo + 1, min(hi, lo + max(1, CELLS // self.n_blocks), len(start)))
+            a, z = int(edge[lo]), int(edge[hi])
+            m = n[a:z]
+            row = np.repeat(self.block_ptr[t[a:z]] - (done[a:z] - done[a]), m) + np.arange(done[z] - done[a])
+            cell = np.repeat((local[a:z] - lo) * self.n_blocks - t[a:z] * self.n_blocks, m) + self.block[row]
+            bound = np.bincount(cell, self.block_max[row], (hi - lo) * self.n_blocks).reshape(hi - lo, self.n_blocks)
+            some, b = np.nonzero((bound > 0) & (bound + light[start[lo:hi], None] >= least))
+            found.append((some + lo, b))
+            lo = hi
+        k, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(k):
             return none
+        p = passage[start[k]]
         # the same with the block maxima of all terms
-        p, b = pairs // self.n_blocks, pairs % self.n_blocks
-        k = np.searchsorted(passage[start], p)
         ends = np.cumsum(size[k])
         at = np.repeat(start[k] - ends + size[k], size[k]) + np.arange(ends[-1])
         bound = np.add.reduceat(self._block_max(term[at], np.repeat(b, size[k])), ends - size[k])
