@@ -4,10 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tierscope.plans import catalog, oracle
+from tierscope.plans import catalog, more_sql, oracle
 
-SLOW = {"run_records", "ceiling_curve", "random_avg_ceiling_curve", "restoration_curve", "random_avg_curve", "normalized_curve", "crossing_bytes", "traversal_frequency", "masked_search_expanded", "masked_search_stats", "beam_sweep_broken_nav"}
-SQL = oracle.oracle_sql()
+SLOW = {"run_records", "ceiling_curve", "random_avg_ceiling_curve", "restoration_curve", "random_avg_curve", "normalized_curve", "crossing_bytes", "traversal_frequency", "masked_search_expanded", "masked_search_stats", "beam_sweep_broken_nav", "masked_search_full", "masked_search_bsp", "h1_ratio", "tier_contributions", "never_visited_fraction", "restore_policies"}
+SQL = oracle.oracle_sql() | more_sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
