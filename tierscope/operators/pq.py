@@ -10,7 +10,8 @@ from pyspark.sql.window import Window as W
 
 from tierscope.functions import vectors as V
 from tierscope.operators.corpus import shuffled
-from tierscope.operators.knn import top_k
+from tierscope.operators.knn import Coded, knn_blocked
+from tierscope.plans.session import cut
 
 CHUNKS, CENTROIDS = 32, 16
 
@@ -76,14 +77,38 @@ def trained(base: DataFrame, dims: int, chunks: int = CHUNKS, centroids: int = 2
     return spark.createDataFrame(rows, "chunk long, centroid long, sub array<double>")
 
 
+def encode_lists(base: DataFrame, book: DataFrame, dims: int, chunks: int = CHUNKS) -> DataFrame:
+    """node_id, code: the nearest centroid (the smaller of equally near ones) of
+    each chunk, in chunk order. The codebook has a fixed size."""
+    step = dims // chunks
+    middle = np.array(center(base, dims).first()["center"], np.float64)
+    known = {(r["chunk"], r["centroid"]): r["sub"] for r in book.collect()}  # chunks x centroids rows
+    subs = np.full((chunks, max((j for _, j in known), default=0) + 1, step), np.inf)
+    for at, sub in known.items():
+        subs[at] = sub
+
+    def near(batches):
+        for pdf in batches:
+            code = np.zeros((len(pdf), chunks), np.int64)
+            if len(pdf):
+                v = (np.stack(pdf["vec"].to_numpy()).astype(np.float64) - middle).reshape(len(pdf), chunks, step)
+                for c in range(chunks):
+                    d = v[:, c, None, :] - subs[c]
+                    d = (d * d).cumsum(2)[:, :, -1]  # adds from left to right
+                    code[:, c] = np.where(np.isnan(d), np.inf, d).argmin(1)
+            yield pd.DataFrame({"node_id": pdf["node_id"], "code": list(code)})
+
+    return base.select("node_id", "vec").mapInPandas(near, "node_id long, code array<long>")
+
+
+def code_rows(lists: DataFrame) -> DataFrame:
+    """(node_id, chunk, code) from codes as arrays."""
+    return lists.select("node_id", F.posexplode("code").alias("chunk", "code")).withColumn("chunk", F.col("chunk").cast("long"))
+
+
 def encode(base: DataFrame, book: DataFrame, dims: int, chunks: int = CHUNKS) -> DataFrame:
     """(node_id, chunk, code): the nearest centroid of each chunk."""
-    step = dims // chunks
-    moved = base.crossJoin(F.broadcast(center(base, dims))).select("node_id", F.zip_with("vec", "center", lambda a, b: a - b).alias("v"))
-    parts = moved.select("node_id", F.posexplode(F.array(*[F.slice("v", c * step + 1, step) for c in range(chunks)])).alias("chunk", "part"))
-    near = parts.join(F.broadcast(book), "chunk").withColumn("d", V.l2_sq(F.col("part"), F.col("sub"), step))  # chunks x centroids rows
-    best = F.min_by("centroid", F.struct("d", "centroid"))
-    return near.groupBy("node_id", "chunk").agg(best.alias("code")).select("node_id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"))
+    return code_rows(encode_lists(base, book, dims, chunks))
 
 
 def code_arrays(codes: DataFrame) -> DataFrame:
@@ -113,7 +138,8 @@ def adc_arrays(table: DataFrame) -> DataFrame:
     return x.select("query_id", F.col("x.d").alias("adc"))
 
 
-def adc_scan(codes: DataFrame, table: DataFrame, k: int, centroids: int = CENTROIDS) -> DataFrame:
-    """The k nearest by codes alone, scanning all nodes."""
-    pairs = code_arrays(codes).crossJoin(F.broadcast(adc_arrays(table)))  # a stated query set
-    return top_k(pairs.select("query_id", "node_id", V.adc(F.col("code"), F.col("adc"), centroids).alias("dist")), k)
+def adc_scan(lists: DataFrame, table: DataFrame, k: int, centroids: int = CENTROIDS) -> DataFrame:
+    """The k nearest by codes alone (node_id, code as an array), scanning all nodes
+    block by block."""
+    tables = cut(adc_arrays(table)).select("query_id", F.col("adc").alias("qvec"))
+    return knn_blocked(lists.select("node_id", F.col("code").alias("vec")), tables, k, how=Coded(centroids))

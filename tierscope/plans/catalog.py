@@ -39,7 +39,8 @@ class Fixture:
     def split(self) -> tuple[DataFrame, DataFrame]:
         rows = table(self.spark, self.sf_dir, "embeddings")
         base, queries = corpus.held_out(rows, max(N_QUERIES, rows.count() // 40))
-        return cut(base), cut(queries)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # one task has ranked a small table
+        return cut(base.repartition(parts, "node_id")), cut(queries)
 
     @property
     def base(self) -> DataFrame:
@@ -74,8 +75,12 @@ class Fixture:
         return cut(pq.codebook(self.base, DIMS))
 
     @cached_property
+    def code_lists(self) -> DataFrame:
+        return cut(pq.encode_lists(self.base, self.book, DIMS))
+
+    @property
     def codes(self) -> DataFrame:
-        return cut(pq.encode(self.base, self.book, DIMS))
+        return pq.code_rows(self.code_lists)
 
     @cached_property
     def tables(self) -> DataFrame:
@@ -83,7 +88,7 @@ class Fixture:
 
     @cached_property
     def adc_hits(self) -> DataFrame:
-        return pq.adc_scan(self.codes, self.tables, K)
+        return pq.adc_scan(self.code_lists, self.tables, K)
 
     @cached_property
     def medoid(self) -> DataFrame:
@@ -144,7 +149,7 @@ class Fixture:
 
     @cached_property
     def index(self) -> search.Index:
-        return search.Index(self.base, self.adj, cut(pq.code_arrays(self.codes)), cut(pq.adc_arrays(self.tables)), DIMS)
+        return search.Index(self.base, self.adj, self.code_lists, cut(pq.adc_arrays(self.tables)), DIMS)
 
     def search(self, pred: DataFrame, params: search.SearchParams = SEARCH, strategy: str = "auto", queries: DataFrame | None = None):
         queries = self.queries if queries is None else queries
@@ -318,7 +323,7 @@ def _all_nodes(f: Fixture) -> DataFrame:
     """Every node as a query, nothing masked, a wide beam."""
     queries = f.base.select(F.col("node_id").alias("query_id"), F.col("vec").alias("qvec"))
     tables = cut(pq.adc_arrays(pq.adc_table(queries, f.book, f.center, DIMS)))
-    index = search.Index(f.base, f.adj, cut(pq.code_arrays(f.codes)), tables, DIMS)
+    index = search.Index(f.base, f.adj, f.code_lists, tables, DIMS)
     pred = cut(f.pred("sequential", {"all": 1.0}))
     start = cut(search.seeds(search.entry_of(queries, f.entries, DIMS), pred, f.hops))
     return search.masked_search(index, queries, pred, start, search.SearchParams(50, 4, K))[0]
