@@ -30,6 +30,22 @@ def rank_grouping(order: DataFrame, group_size: int) -> DataFrame:
     return order.select("node_id", F.floor(F.col("rank") / group_size).cast("long").alias("group_id"))
 
 
+def prefix_predicates(groupings: DataFrame, limits: DataFrame) -> DataFrame:
+    """node_predicates of many orders in one pass: groupings (order, node_id,
+    group_id) and limits (order, mask_id, n_groups), a row for each mask, which has
+    all tiers of its order's first n_groups groups."""
+    ok = F.col("group_id") < F.col("n_groups")
+    return groupings.join(F.broadcast(limits), "order").select("mask_id", "node_id", *[ok.alias(f"{t.lower()}_ok") for t in TIERS])
+
+
+def prefix_bytes(groupings: DataFrame, limits: DataFrame, adj: DataFrame, dims: int, item_bytes: int = 4, code_bytes: int = CODE_BYTES) -> DataFrame:
+    """(order, mask_id, n_groups, bytes_total) of the same masks, by actual lists."""
+    node = F.lit(code_bytes + 4 + dims * item_bytes) + 4 * F.coalesce("degree", F.lit(0))
+    sizes = groupings.join(adj.select("node_id", "degree"), "node_id", "left").groupBy("order", "group_id").agg(F.sum(node).alias("bytes"))
+    sums = sizes.join(F.broadcast(limits), "order").where("group_id < n_groups").groupBy("mask_id").agg(F.sum("bytes").cast("double").alias("bytes_total"))
+    return limits.join(sums, "mask_id", "left").na.fill(0.0, ["bytes_total"]).select("order", "mask_id", "n_groups", "bytes_total")
+
+
 def group_bytes(grouping: DataFrame, adj: DataFrame, slots: int, dims: int, item_bytes: int = 4, code_bytes: int = CODE_BYTES) -> DataFrame:
     """Bytes of each group by tier: actual and reserved lists, codes, vectors."""
     rows = grouping.join(adj.select("node_id", "degree"), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))

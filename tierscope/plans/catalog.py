@@ -21,6 +21,7 @@ from tierscope.plans.session import cut, global_rank, table
 N_QUERIES, DIMS, K, DEGREE, SLOTS, GROUP = 50, 64, 10, 10, 16, 25
 FRACTIONS = {"f00": 0.0, "f25": 0.25, "f50": 0.5, "f100": 1.0}
 SEEDS = [101, 102, 103, 104, 105]
+ORDERS, RANDOM = ["sequential", "in_degree", "hop_distance"], [f"random_{s}" for s in sweep.random_seeds(SEEDS)]
 SEARCH = search.SearchParams(L=50, W=4, k=K)
 #: For the search with a limit of expansions.
 LIMITED = search.SearchParams(L=20, W=4, k=K, io_limit=9)
@@ -164,22 +165,51 @@ class Fixture:
 
     # sweeps -----------------------------------------------------------------------
 
-    @cached_property
-    def sweep_points(self) -> DataFrame:
-        """order, mask_id, n_groups, bytes_total, mean_recall, mean_ceiling: all
-        orders and fractions in one search."""
-        orders = ["sequential", "in_degree", "hop_distance", *(f"random_{s}" for s in sweep.random_seeds(SEEDS))]
-        pred = reduce(DataFrame.unionByName, [self.pred(o, CURVE, prefix=f"{o}|") for o in orders])
-        sizes = reduce(DataFrame.unionByName, [self.bytes(o, CURVE, prefix=f"{o}|") for o in orders])
+    def sweep_groupings(self, orders: list[str]) -> DataFrame:
+        """(order, node_id, group_id) of several orders: one ranking of them all, as
+        each has every node."""
+        rows, keys = self.nodes, []
+        if "in_degree" in orders:
+            rows = rows.join(self.in_degree, "node_id")
+        if "hop_distance" in orders:
+            rows = rows.join(self.hops, "node_id")
+        for i, o in enumerate(orders):
+            score = {"in_degree": -F.col("in_degree"), "hop_distance": F.col("hop")} if not o.startswith("random_") else {}
+            text = corpus.shuffled(int(o.removeprefix("random_")), "node_id")[0] if o.startswith("random_") else F.lit("")
+            keys.append(F.struct(F.lit(i).alias("i"), F.lit(o).alias("order"), score.get(o, F.lit(0)).cast("long").alias("s"), text.alias("h")))
+        rows = rows.select("node_id", F.explode(F.array(*keys)).alias("k")).select("node_id", "k.*")
+        ranked = global_rank(rows, [F.col("i"), F.col("s"), F.col("h"), F.col("node_id")])
+        group = F.floor((F.col("rank") - F.col("i") * self.nodes.count()) / GROUP).cast("long")
+        return cut(ranked.select("order", "node_id", group.alias("group_id")))
+
+    def sweep_limits(self, orders: list[str]) -> DataFrame:
+        """(order, mask_id, n_groups) of all fractions."""
         counts = {m: masks.groups_of_fraction(self.n_groups, f) for m, f in CURVE.items()}
-        groups = self.spark.createDataFrame([(f"{o}|{m}", o, n) for o in orders for m, n in counts.items()], "mask_id string, order string, n_groups long")
-        records = self.records(pred).select("mask_id", "mean_recall", "mean_ceiling")
-        return cut(groups.join(sizes.select("mask_id", F.col("total").alias("bytes_total")), "mask_id").join(records, "mask_id"))
+        return self.spark.createDataFrame([(o, f"{o}|{m}", n) for o in orders for m, n in counts.items()], "order string, mask_id string, n_groups long")
+
+    def ceiling_points(self, orders: list[str]) -> DataFrame:
+        """order, mask_id, n_groups, bytes_total, mean_ceiling: true neighbours and
+        masks give it, without a search."""
+        groupings, limits = self.sweep_groupings(orders), self.sweep_limits(orders)
+        near = groupings.join(self.truth.select("node_id").distinct(), "node_id", "left_semi")
+        ceilings = metrics.absence_ceiling(self.truth, masks.prefix_predicates(near, limits)).groupBy("mask_id").agg(F.avg("ceiling").alias("mean_ceiling"))
+        return cut(masks.prefix_bytes(groupings, limits, self.adj, DIMS).join(ceilings, "mask_id"))
+
+    def sweep_points(self, orders: list[str]) -> DataFrame:
+        """order, mask_id, n_groups, bytes_total, mean_recall, mean_ceiling, all in one
+        search. Masks of no group or of all are the same in every order, and run once."""
+        groupings, limits = self.sweep_groupings(orders), self.sweep_limits(orders)
+        run_as = {f"{o}|{m}": f"{o if 0 < f < 1 else orders[0]}|{m}" for o in orders for m, f in CURVE.items()}
+        run_as = self.spark.createDataFrame(list(run_as.items()), "mask_id string, run_as string")
+        runs = limits.join(F.broadcast(run_as.where("mask_id = run_as")), "mask_id").drop("run_as")
+        records = self.records(masks.prefix_predicates(groupings, runs)).select(F.col("mask_id").alias("run_as"), "mean_recall", "mean_ceiling")
+        records = run_as.join(cut(records), "run_as").drop("run_as")
+        return cut(masks.prefix_bytes(groupings, limits, self.adj, DIMS).join(records, "mask_id"))
 
     @cached_property
     def curve(self) -> DataFrame:
         """order, bytes_total, mean_recall, mean_ceiling, random orders averaged."""
-        points = self.sweep_points
+        points = self.sweep_points(ORDERS + RANDOM)
         random = curves.random_average(points.where(F.col("order").startswith("random_")))
         ceilings = points.where(F.col("order").startswith("random_")).groupBy("n_groups").agg(F.avg("mean_ceiling").alias("mean_ceiling"))
         random = random.join(ceilings, "n_groups").select(F.lit("random_avg").alias("order"), "bytes_total", "mean_recall", "mean_ceiling")
@@ -284,10 +314,10 @@ Q: dict[str, Callable[[Fixture], DataFrame]] = {
     "run_records": lambda f: f.records(f.pred("random_101", FRACTIONS)).drop("per_query"),
     "tier_contributions": lambda f: curves.tier_contributions(f.records(_tiers(f))),
     "beam_sweep_broken_nav": lambda f: reduce(DataFrame.unionByName, [curves.broken_navigation(f.records(f.pred("random_101", {"f50": 0.5}), search.SearchParams(b, w, K))).select(F.lit(b).alias("L"), F.lit(w).alias("W"), "mean_recall", "mean_ceiling", "broken_navigation", "mean_hops") for b, w in BEAMS]),
-    "ceiling_curve": lambda f: f.sweep_points.where(~F.col("order").startswith("random_")).select("order", "bytes_total", "mean_ceiling"),
-    "random_avg_ceiling_curve": lambda f: f.curve.where("order = 'random_avg'").select("bytes_total", "mean_ceiling"),
-    "restoration_curve": lambda f: f.curve.where("order <> 'random_avg'").select("order", "bytes_total", "mean_recall"),
-    "random_avg_curve": lambda f: curves.random_average(f.sweep_points.where(F.col("order").startswith("random_"))),
+    "ceiling_curve": lambda f: f.ceiling_points(ORDERS).select("order", "bytes_total", "mean_ceiling"),
+    "random_avg_ceiling_curve": lambda f: f.ceiling_points(RANDOM).groupBy("n_groups").agg(F.avg("bytes_total").alias("bytes_total"), F.avg("mean_ceiling").alias("mean_ceiling")).drop("n_groups"),
+    "restoration_curve": lambda f: f.sweep_points(ORDERS).select("order", "bytes_total", "mean_recall"),
+    "random_avg_curve": lambda f: curves.random_average(f.sweep_points(RANDOM)),
     "normalized_curve": lambda f: f.normalized.select("order", "bytes_total", "mean_recall", "normalized_recall"),
     "crossing_bytes": lambda f: curves.crossings(f.normalized),
     "h1_ratio": lambda f: curves.h1_ratio(curves.crossings(f.normalized)),
