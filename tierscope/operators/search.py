@@ -84,9 +84,11 @@ def seeds(entry: DataFrame, pred: DataFrame, hops: DataFrame | None) -> DataFram
 def _finish(state: DataFrame, index: Index, queries: DataFrame, pred: DataFrame, start: DataFrame, params: SearchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """hits, stats and expanded of a final state (mask, query, node, adc, hop)."""
     done = state.where("hop IS NOT NULL").join(pred.select("mask_id", "node_id", "adj_ok", "vec_ok"), ["mask_id", "node_id"])
-    exact = done.where("vec_ok").join(index.vec.select("node_id", "vec"), "node_id").join(queries.select("query_id", "qvec"), "query_id")
-    exact = exact.select("mask_id", "query_id", "node_id", "hop", "adj_ok", "vec_ok", V.l2_sq(F.col("qvec"), F.col("vec"), index.dims).alias("dist"))
-    scored = exact.union(done.where("NOT vec_ok").select("mask_id", "query_id", "node_id", "hop", "adj_ok", "vec_ok", F.col("adc").alias("dist")))
+    # once for each query and node, however many masks have them: vectors are wide
+    exact = done.where("vec_ok").select("query_id", "node_id").distinct().join(index.vec.select("node_id", "vec"), "node_id").join(queries.select("query_id", "qvec"), "query_id")
+    exact = done.where("vec_ok").join(exact.select("query_id", "node_id", V.l2_sq(F.col("qvec"), F.col("vec"), index.dims).alias("dist")), ["query_id", "node_id"])
+    columns = ["mask_id", "query_id", "node_id", "hop", "adj_ok", "vec_ok"]
+    scored = exact.select(*columns, "dist").union(done.where("NOT vec_ok").select(*columns, F.col("adc").alias("dist")))
     w = W.partitionBy("mask_id", "query_id").orderBy("dist", "node_id")
     hits = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= params.k)
     hits = hits.select("mask_id", "query_id", (F.col("rank") - 1).cast("long").alias("rank"), "node_id", "dist", F.col("vec_ok").alias("is_exact"))
@@ -128,75 +130,99 @@ def search_bsp(index: Index, queries: DataFrame, pred: DataFrame, start: DataFra
 
 def index_bytes(index: Index, pred: DataFrame) -> int:
     """What a broadcast of the index and the masks would weigh, about."""
-    n, edges = index.adj.agg(F.count("*"), F.sum("degree")).first()
-    return int((n or 0) * (8 * index.dims + 64) + 8 * (edges or 0) + 16 * pred.count())
+    n, edges, width = index.adj.join(index.codes, "node_id").agg(F.count("*"), F.sum("degree"), F.max(F.size("code"))).first()
+    return int((n or 0) * (24 + (width or 0) + pred.select("mask_id").distinct().count() / 4) + 8 * (edges or 0))
+
+
+#: Masks whose flags are the bits of one long.
+WORD = 60
+
+
+def mask_bits(pred: DataFrame) -> tuple[list[str], DataFrame]:
+    """The masks in order, and (node_id, w0, w1, ..): codes_ok of the first WORD
+    masks as bits of w0, their adj_ok in w1, those of the next masks in w2, w3, .."""
+    names = sorted(r[0] for r in pred.select("mask_id").distinct().collect())  # a row for each mask
+    order = pred.sparkSession.createDataFrame([(m, i // WORD, 1 << i % WORD) for i, m in enumerate(names)], "mask_id string, word long, bit long")
+    words = [(w, c) for w in range(-(-len(names) // WORD)) for c in ("codes_ok", "adj_ok")]
+    bits = [F.coalesce(F.bit_or(F.when((F.col("word") == w) & F.col(c), F.col("bit"))), F.lit(0).cast("long")).alias(f"w{k}") for k, (w, c) in enumerate(words)]
+    return names, pred.join(F.broadcast(order), "mask_id").groupBy("node_id").agg(*bits)
 
 
 def search_arrow(index: Index, queries: DataFrame, pred: DataFrame, start: DataFrame, params: SearchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The same in memory; ValueError for an index over BROADCAST_BYTES.
 
     A node's record has its list and its code; nodes without either can't be
-    entered. Neighbours are kept as places in the sorted ids."""
+    entered. Neighbours are kept as places in the sorted ids, masks as bits of a
+    node: what passes through the driver is a row for each node, in Arrow batches.
+    """
     if index_bytes(index, pred) > BROADCAST_BYTES:
         raise ValueError("the index is too large to broadcast; use bsp")
-    rows = index.adj.join(index.codes, "node_id").select("node_id", F.slice("nbrs", F.lit(1), F.col("degree")).alias("nbrs"), "code").orderBy("node_id").toPandas()
-    ids = rows["node_id"].to_numpy()
-    lists = rows["nbrs"].tolist()
-    ptr = np.cumsum([0, *map(len, lists)])
-    flat = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
-    at = np.minimum(np.searchsorted(ids, flat), max(len(ids) - 1, 0))
-    codes = np.array(rows["code"].tolist(), np.int64).reshape(len(rows), -1)
-    codes += np.arange(codes.shape[1]) * index.centroids  # places in a query's flat table
-    flags = pred.select("mask_id", "node_id", "codes_ok", "adj_ok").toPandas()
-    ok = {}
-    for mask, g in flags.groupby("mask_id"):
-        c, a = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-        g = g[np.isin(g["node_id"], ids)]
-        c[np.searchsorted(ids, g["node_id"])], a[np.searchsorted(ids, g["node_id"])] = g["codes_ok"], g["adj_ok"]
-        ok[mask] = (c, a)
-    shared = index.adj.sparkSession.sparkContext.broadcast((ids, ptr, at, codes, ok))
-    limit = params.io_limit if params.io_limit is not None else 1 << 60
-
-    def beam(seed: int, table: np.ndarray, codes_ok: np.ndarray, adj_ok: np.ndarray) -> tuple[list[int], list[float], list[int]]:
-        ids, ptr, at, codes, _ = shared.value
-        dist = lambda p: table[codes[p]].cumsum(1)[:, -1]  # noqa: E731 - adds from left to right
+    names, bits = mask_bits(pred)
+    rows = index.adj.join(index.codes, "node_id").join(bits, "node_id", "left").na.fill(0, [c for c in bits.columns if c != "node_id"])
+    rows = rows.select("node_id", F.slice("nbrs", F.lit(1), F.col("degree")).alias("nbrs"), F.col("code").cast("array<int>").alias("code"), *[c for c in bits.columns if c != "node_id"]).toArrow()
+    rows = rows.sort_by("node_id").combine_chunks()
+    column = lambda c: rows[c].combine_chunks()
+    ids = column("node_id").to_numpy()
+    lists = column("nbrs")
+    ptr = np.concatenate([[0], lists.value_lengths().to_numpy().cumsum()]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, lists.flatten().to_numpy()), max(len(ids) - 1, 0)).astype(np.int32)
+    codes = column("code").flatten().to_numpy().reshape(len(ids), -1)
+    codes = codes.astype(np.min_scalar_type(int(codes.max(initial=0))))
+    words = [column(c).to_numpy() for c in bits.columns if c != "node_id"]
+    del rows, lists
+    shared = index.adj.sparkSession.sparkContext.broadcast((ids, ptr, at, codes, names, words))
+    limit, centroids = params.io_limit if params.io_limit is not None else 1 << 60, index.centroids
+
+    def beam(seed: int, table: np.ndarray, codes_ok: np.ndarray, adj_ok: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, ptr, at, codes = shared.value[:4]
+        first = np.arange(codes.shape[1]) * centroids  # of a chunk in a query's flat table
+        dist = lambda p: table[codes[p] + first].cumsum(1)[:, -1]  # noqa: E731 - adds from left to right
         best = np.searchsorted(ids, [seed])
         near, seen = dist(best), np.zeros(len(ids), bool)
         seen[best] = True
         hop_of = np.zeros(len(ids), np.int32)
-        found: tuple[list, list, list] = ([], [], [])
-        hop = 0
-        while len(found[0]) < limit:
+        found, far, sizes = [], [], []
+        hop = done = 0
+        while done < limit:
             front = np.flatnonzero(hop_of[best] == 0)[: params.W]
             if not len(front):
                 break
             hop += 1
             go = best[front]
             hop_of[go] = hop
-            found[0].extend(go.tolist()), found[1].extend(near[front].tolist()), found[2].extend([hop] * len(go))
+            found.append(go), far.append(near[front]), sizes.append(len(go))
+            done += len(go)
             new = [at[ptr[p] : ptr[p + 1]] for p in go if adj_ok[p]]
             if not new:
                 continue
             new = np.concatenate(new)
             new = np.unique(new[codes_ok[new] & ~seen[new]])
+            if not len(new):
+                continue
             seen[new] = True
             best, near = np.concatenate([best, new]), np.concatenate([near, dist(new)])
             order = np.lexsort((best, near))[: params.L]
             best, near = best[order], near[order]
-        return found
+        return ids[np.concatenate(found)], np.concatenate(far), np.repeat(np.arange(1, hop + 1), sizes)
 
     def run(batches):
-        ids, ok = shared.value[0], shared.value[4]
+        names, words = shared.value[4:]
+        place, ok = {m: i for i, m in enumerate(names)}, {}
         for pdf in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for mask, query, seed, table in zip(pdf["mask_id"], pdf["query_id"], pdf["seed"], pdf["adc"], strict=True):
-                p, d, h = beam(seed, np.asarray(table), *ok[mask])
-                for x, v in zip(out, ([mask] * len(p), [query] * len(p), ids[p].tolist(), d, h), strict=True):
-                    x.extend(v)
-            yield pd.DataFrame(dict(zip(("mask_id", "query_id", "node_id", "adc", "hop"), out, strict=True)))
-
-    jobs = start.where("seed IS NOT NULL").select("mask_id", "query_id", "seed").join(index.tables, "query_id")
-    jobs = jobs.select("mask_id", "query_id", "seed", "adc").repartition(int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            for query, table, runs in zip(pdf["query_id"], pdf["adc"], pdf["runs"], strict=True):
+                out = []
+                for x in runs:  # mask_id, seed
+                    if (m := x["mask_id"]) not in ok:
+                        w, i = divmod(place[m], WORD)
+                        ok[m] = tuple((words[2 * w + k] >> i & 1).astype(bool) for k in (0, 1))
+                    out.append(beam(x["seed"], table, *ok[m]))
+                p, d, h = map(np.concatenate, zip(*out, strict=True))
+                masks = np.repeat(np.array([x["mask_id"] for x in runs], object), [len(x[0]) for x in out])
+                yield pd.DataFrame({"mask_id": masks, "query_id": query, "node_id": p, "adc": d, "hop": h})
+
+    parts = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jobs = start.where("seed IS NOT NULL").groupBy("query_id").agg(F.collect_list(F.struct("mask_id", "seed")).alias("runs"))  # a query's table goes once to all its masks
+    jobs = jobs.join(index.tables, "query_id").select("query_id", "adc", "runs").repartition(parts, "query_id")
     state = jobs.mapInPandas(run, "mask_id string, query_id long, node_id long, adc double, hop long")
     return _finish(cut(state), index, queries, pred, start, params)
 
